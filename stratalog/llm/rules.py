@@ -75,8 +75,10 @@ def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: list[np.ndarra
                     best = (gain[k], Condition(name, above, float(cuts[j][k])))
         if best[1] is None:
             break
-        rule.append(best[1])
-        live &= best[1].holds(x, names)
+        v, cut = x[live, names.index(best[1].feature)], best[1].cut
+        margin = (float(v[v <= cut].max(initial=-np.inf)) + float(v[v > cut].min(initial=np.inf))) / 2
+        rule.append(Condition(best[1].feature, best[1].above, margin if np.isfinite(margin) else cut))
+        live &= rule[-1].holds(x, names)
     return tuple(rule)
 
 

@@ -19,7 +19,7 @@ SYMBOLS = "#*$%&|<>"
 _WHITE = " \t\n\r\x0b\x0c"
 #: Base statistics first, then shares and shapes that the learners see besides.
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SHAPES = ["n_chars", "n_lines", "n_upper", "n_lower", "n_digits", "n_end_marks", "n_exclaims", "n_distinct_words", "n_long_words", "n_short_lines", "n_top_word", "n_stop_lines"]
+SHAPES = ["n_chars", "n_lines", "n_upper", "n_common_letters", "n_digits", "n_end_marks", "n_exclaims", "n_distinct_words", "n_long_words", "n_short_lines", "n_top_word"]
 
 
 def repeated_words(words: list[bytes], window: int = 3) -> tuple[int, int, int]:
@@ -56,7 +56,7 @@ def base_stats(text: str) -> tuple[int, ...]:
     words = raw.split()
     lines = text.split("\n")
     seen: set[str] = set()
-    dups = short = stops = full = 0
+    dups = short = full = 0
     for line in lines:
         if line and line.strip(_WHITE):
             full += 1
@@ -65,7 +65,6 @@ def base_stats(text: str) -> tuple[int, ...]:
             else:
                 seen.add(line)
             short += len(line) < 40
-            stops += line.rstrip(_WHITE)[-1] in ".!?\"'"
     repeat, distinct, top = repeated_words(words)
     upper = sum(map(raw.count, _UPPER))
     digits = sum(map(raw.count, _DIGITS))
@@ -78,7 +77,7 @@ def base_stats(text: str) -> tuple[int, ...]:
         len(text),
         full,
         upper,
-        sum(map(raw.count, _LOWER)),
+        sum(map(raw.count, _COMMON)),
         digits,
         raw.count(b"."),
         raw.count(b"!"),
@@ -86,12 +85,11 @@ def base_stats(text: str) -> tuple[int, ...]:
         sum(len(w) > 16 for w in words),
         short,
         top,
-        stops,
     )
 
 
 _UPPER = [bytes([c]) for c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-_LOWER = [bytes([c]) for c in b"aeinst"]
+_COMMON = [bytes([c]) for c in b"aeinst"]
 _DIGITS = [bytes([c]) for c in b"0123456789"]
 
 
@@ -118,7 +116,7 @@ def shares():
         "dup_line_share": F.col("n_dup_lines") / line,
         "repeat_share": F.col("n_repeat_words") / word,
         "upper_share": F.col("n_upper") / char,
-        "vowel_share": F.col("n_lower") / char,
+        "common_letter_share": F.col("n_common_letters") / char,
         "digit_share": F.col("n_digits") / char,
         "stop_rate": F.col("n_end_marks") / word,
         "exclaim_rate": F.col("n_exclaims") / word,
@@ -127,5 +125,4 @@ def shares():
         "short_line_share": F.col("n_short_lines") / line,
         "line_words": F.log1p(F.col("n_words") / line),
         "top_share": F.col("n_top_word") / word,
-        "stop_line_share": F.col("n_stop_lines") / line,
     }
