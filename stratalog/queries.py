@@ -21,7 +21,7 @@ from .streaming import ingest
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 LIMIT_SPLIT = 65_536
-LIMIT_FLUSH = 4_096
+LIMIT_FLUSH = 1_024
 SMALL = StoreConfig(flush_bytes=LIMIT_FLUSH, level_unit=100_000)
 
 _BASE = """

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import padded
+from ..sources.storage import scratch
 
 
 def latest_by_key(stream: DataFrame) -> DataFrame:
@@ -31,15 +30,23 @@ def append_to_store(stream: DataFrame, store, checkpoint: str):
 def replayed_snapshot(spark: SparkSession, events_path: str) -> DataFrame:
     """The live rows that a stream over an events table ends with."""
     source = spark.read.parquet(events_path)
-    # A file source wants a folder: the table may be one file.
     folder, _, name = events_path.rpartition("/")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", name if not _is_folder(spark, events_path) else "*").parquet(events_path if _is_folder(spark, events_path) else folder)
+    reader = spark.readStream.schema(source.schema)
+    # A file source wants a folder: the table may be one file of many there.
+    stream = reader.parquet(events_path) if _is_folder(spark, events_path) else reader.option("pathGlobFilter", name).parquet(folder)
     deleted = F.col("event_type") == "error"
     changes = stream.select(F.col("event_id").alias("seq"), padded(F.col("user_id")).alias("key"), F.when(~deleted, F.col("props")).alias("value"), deleted.alias("is_tombstone"))
-    sink = f"latest_{uuid.uuid4().hex}"
-    query = latest_by_key(changes).writeStream.outputMode("complete").format("memory").queryName(sink).trigger(availableNow=True).start()
+    place = scratch(spark, "stream")
+    state: list[str] = []
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        path = f"{place}/state-{batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        state[:] = [path]
+
+    query = latest_by_key(changes).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(sink).filter("NOT is_tombstone")
+    return spark.read.parquet(state[0]).filter("NOT is_tombstone")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
