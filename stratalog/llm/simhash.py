@@ -154,7 +154,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     A group is named by a 64-bit hash of its block pair: two groups that happen to share a name are compared
     together, which costs time and loses nothing.
     """
-    rows = distinct.select("fp", F.explode(_block_keys(F.col("fp"), radius)).alias("k")).select("fp", F.col("k.g").alias("g"))
+    rows = distinct.select("fp", F.explode(_block_keys(F.col("fp"), radius)).alias("k")).select(F.col("k.g").alias("g"), "fp")
     pops = rows.groupBy("g", F.bit_count("fp").alias("pop")).agg(F.count(F.lit(1)).alias("n"))
     big = written(
         pops.groupBy("g").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("pop", "n"))).alias("pops")).filter(F.col("total") > tile),
@@ -163,7 +163,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     schema = "a bigint, b bigint"
     if big.isEmpty():
         return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(radius), schema)
-    light = rows.join(big, "g", "left_anti")
+    light = rows.join(big, "g", "left_anti").select("g", "fp")
     out = light.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(radius), schema)
     # Tiles of a large group: population count p, and a hash into ceil(n / tile) parts.
     parts = lambda p: F.ceil(F.element_at("pops", p) / F.lit(tile)).cast("int")
@@ -172,7 +172,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     near = F.filter(F.map_keys("pops"), lambda p: F.abs(p - pop) <= radius)
     others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), parts(p) - 1), lambda s: F.struct(p.alias("p"), s.alias("s")))))
     tiled = rows.join(big, "g").withColumn("own", F.struct(pop.alias("p"), mine.alias("s"))).withColumn("other", F.explode(others))
-    named = tiled.select("fp", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+    named = tiled.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp")
     return out.unionByName(named.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(radius), schema))
 
 
