@@ -27,7 +27,7 @@ PRECISION = 0.95
 LAPLACE, LAPLACE_PRUNING = 0.9, 0.8
 MIN_COVER = 8
 _FOLD = 3
-_CUTS = 64
+_CUTS = 512
 
 
 @dataclass(frozen=True)
