@@ -1,0 +1,106 @@
+import re
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from stratalog.llm import surrogates as S
+
+from .edge import ROWS, docs, empty
+
+TEXTS = [
+    (1, "Write to Anna.Smith42@mail3.example.com or anna.smith42@mail3.example.com, call +1 (456) 555-2186 or (456) 555-2186."),
+    (2, "Card 4337166598464399 and 4337-1665-9846-4399; ip 61.98.59.5, then 203.0.113.77. SSN 123-45-6789."),
+    (3, "Mrs. Anna Schmidt met Mr. Karl Schmidt and Herr Schmidt; госпожа Анна Петрова too. IBAN DE44 5001 0517 5407 3249 31 ok."),
+    (4, "bob@a.org bobby@a.org bob@b.org"),
+    (5, "nothing here 12 ab, version 3.0 of 1.2.3"),
+    (6, "again ANNA.SMITH42@mail3.example.com and 4337166598464399"),
+]
+
+
+def replaced(spark, key="k"):
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    return {r["doc_id"]: (r["text"], r["n_entities"]) for r in S.replace_pii(df, key).collect()}
+
+
+def test_formats_coreference_and_distinctness(spark):
+    got = replaced(spark)
+    a = re.fullmatch(r"Write to (\S+@\S+\.com) or (\S+@\S+\.com), call \+1 \((\d{3})\) (\d{3}-\d{4}) or \((\d{3})\) (\d{3}-\d{4})\.", got[1][0])
+    assert a and a[1].lower() == a[2] and (a[3], a[4]) == (a[5], a[6]) and a[3] + a[4] != "456555-2186"
+    assert re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{4}\d\d@[a-z]{4}\d\.[a-z]{7}\.com", a[1])
+    b = re.fullmatch(r"Card (4\d{15}) and (\d{4}-\d{4}-\d{4}-\d{4}); ip (\S+), then (\S+)\. SSN (\d{3}-\d{2}-\d{4})\.", got[2][0])
+    assert b and b[1] == b[2].replace("-", "") and b[1] != "4337166598464399" and b[3] != b[4] and b[5] != "123-45-6789"
+    digits = [int(d) for d in reversed(b[1])]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    assert all(0 <= int(o) <= 255 for ip in (b[3], b[4]) for o in ip.split("."))
+    c = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr\. (\w+) (\w+) and Herr (\w+); госпожа ([А-Яа-я]+) ([А-Яа-я]+) too\. IBAN (DE\d\d(?: \d{4}){4} \d\d) ok\.", got[3][0])
+    assert c and c[2] == c[4] == c[5] != "Schmidt" and c[1].endswith("na") and c[1] != "Anna" and c[6].endswith("на")
+    mails = got[4][0].split()
+    assert len(set(mails)) == 3 and mails[0].split("@")[1] == mails[1].split("@")[1] != mails[2].split("@")[1]
+    assert got[5] == (TEXTS[4][1], 0)
+    assert a[1].lower() in got[6][0].lower() and b[1] in got[6][0]
+    assert [got[i][1] for i in range(1, 7)] == [4, 5, 5, 3, 0, 2]
+
+
+def test_keys_differ_and_runs_repeat(spark):
+    assert replaced(spark, "k") == replaced(spark, "k")
+    assert all(replaced(spark, "other")[i][0] != replaced(spark, "k")[i][0] for i in (1, 2, 3, 4, 6))
+
+
+def test_clashes_are_drawn_again(spark):
+    # One digit in ten: the mails n@x.org have few surrogates, and each may be another's original.
+    found = spark.createDataFrame([("mail", f"{c}{d}@x.org") for c in "abcdefghijklmnop" for d in range(10)], "type string, canon string")
+    got = S.assign(found, "k").collect()
+    new = [r["new"] for r in got]
+    assert len(got) == 160 == len(set(new)) and not set(new) & {r["canon"] for r in got}
+
+
+def test_a_longer_name_is_drawn_when_short_ones_run_out(spark):
+    found = spark.range(3000).select(F.lit("surname-latin").alias("type"), F.concat(F.lit("n"), "id").alias("canon"))
+    got = S.assign(found, "k")
+    assert got.select("new").distinct().count() == 3000
+
+
+def test_edge_rows_come_back_unchanged(spark):
+    d = docs(spark)
+    got = S.replace_pii(d, "k")
+    assert got.columns == [*d.columns, "n_entities"]
+    assert sorted(map(repr, got.select("doc_id", "text").collect())) == sorted(map(repr, d.select("doc_id", "text").collect()))
+    assert S.replace_pii(empty(spark), "k").isEmpty()
+    assert len(ROWS) == got.count()
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(None, "a@b.org x"), (None, "c@d.org"), (7, "a@b.org"), (7, "a@b.org"), (7, "1.2.3.4 a@b.org"), (8, None)]
+    got = S.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r["text"])
+    assert len(got) == 6 and by[8] == [None]
+    text = " ".join(t for ts in by.values() for t in ts if t)
+    assert not re.search(r"a@b\.org|c@d\.org|1\.2\.3\.4", text)
+    assert len(set(re.findall(r"\S+@\S+", text))) == 2
+
+
+def test_no_planted_entity_is_left(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    mail, ip, phone, card = r"\w+\.\d\d@mail\d\.example\.com", r"(?<![\d.])\d+\.\d+\.\d+\.\d+(?![\d.])", r"\+1 \(\d{3}\) 555-\d{4}", r"(?<!\d)\d{16}(?!\d)"
+    pattern = re.compile(f"{mail}|{ip}|{phone}|{card}")
+    before = {r["doc_id"]: r["text"] for r in d.collect()}
+    got = {r["doc_id"]: r["text"] for r in S.replace_pii(d, "k").collect()}
+    maps: dict[str, str] = {}
+    n = 0
+    for i, text in before.items():
+        for raw in pattern.findall(text):
+            n += 1
+            assert raw not in got[i]
+        if not pattern.search(text):
+            assert got[i] == text
+        else:  # what stands between entities stays
+            a, b = pattern.split(text), got[i]
+            at = 0
+            for part in a:
+                at = b.index(part, at) + len(part)
+            new = re.findall("(.*?)".join(map(re.escape, a)) + "$", b, re.S)[0]
+            for raw, s in zip(pattern.findall(text), [new] if isinstance(new, str) else new):
+                assert maps.setdefault(raw, s) == s
+    assert n > 50 and len(set(maps.values())) == len(maps)
