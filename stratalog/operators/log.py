@@ -1,7 +1,8 @@
 """Log replay: records count only up to the last commit marker before the first damaged record.
 
-Nothing here orders the whole log in one task. The cut-off points are aggregates; batch numbers come from ranges of
-the log: each range counts its markers, the few counts are summed, and each range numbers its own rows.
+Nothing here orders the whole log in one task. The cut-off points are aggregates, computed first, so that they reach the
+scan as pushed filters; batch numbers come from ranges of the log: each range counts its markers, the few counts
+are summed, and each range numbers its own rows.
 """
 
 from __future__ import annotations
@@ -14,16 +15,21 @@ from pyspark.sql.window import Window
 BLOCK = 1 << 16
 
 
+def scalar(df: DataFrame):
+    """The value of a one-row, one-column aggregate."""
+    return df.first()[0]
+
+
 def intact(log: DataFrame) -> DataFrame:
     """The rows before the first one marked corrupt: a torn tail ends the log."""
-    bad = log.filter("corrupt").agg(F.min("seq").alias("_bad"))
-    return log.join(F.broadcast(bad)).filter(F.col("_bad").isNull() | (F.col("seq") < F.col("_bad"))).drop("_bad")  # one row
+    bad = scalar(log.filter("corrupt").agg(F.min("seq")))
+    return log if bad is None else log.filter(F.col("seq") < F.lit(bad))
 
 
 def committed(log: DataFrame) -> DataFrame:
-    """The rows before the last commit marker, markers excluded."""
-    last = log.filter("op = 'commit'").agg(F.max("seq").alias("_last"))
-    return log.join(F.broadcast(last)).filter((F.col("seq") < F.col("_last")) & (F.col("op") != "commit")).drop("_last")  # one row
+    """The rows before the last commit marker, markers excluded; none without a marker."""
+    last = scalar(log.filter("op = 'commit'").agg(F.max("seq")))
+    return log.filter(F.lit(False)) if last is None else log.filter((F.col("seq") < F.lit(last)) & (F.col("op") != "commit"))
 
 
 def with_batches(log: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -38,4 +44,7 @@ def with_batches(log: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def replay(log: DataFrame) -> DataFrame:
     """Committed records of the intact part of a log, with batch."""
-    return with_batches(intact(log)).transform(committed)
+    whole = intact(log)
+    last = scalar(whole.filter("op = 'commit'").agg(F.max("seq")))
+    # Markers have to stay until the batches are numbered.
+    return whole.filter(F.lit(False)).withColumn("batch", F.lit(0).cast("long")) if last is None else with_batches(whole.filter(F.col("seq") < F.lit(last))).filter("op <> 'commit'")

@@ -22,9 +22,10 @@ def inputs_level0(files: DataFrame) -> DataFrame:
     The union range, not each run's own: the output spans it, and level 1 has to stay disjoint.
     """
     zero = files.filter("level = 0")
-    span = zero.agg(F.min("first_key").alias("_lo"), F.max("last_key").alias("_hi"))
-    below = files.filter("level = 1").join(F.broadcast(span)).filter("last_key >= _lo AND first_key <= _hi")  # one row
-    return zero.select("level", "id").unionByName(below.select("level", "id")).distinct()
+    low, high = zero.agg(F.min("first_key"), F.max("last_key")).first()
+    if low is None:
+        return zero.select("level", "id")
+    return zero.unionByName(manifest.covering(files, 1, F.lit(low), F.lit(high))).select("level", "id").distinct()
 
 
 def inputs_level(files: DataFrame, cursors: DataFrame) -> DataFrame:

@@ -72,8 +72,8 @@ def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all runs: each run holds one version of a key."""
     rows = changelog(spark, sf_dir)
-    n = F.broadcast(rows.agg((F.max("id") + 1).alias("_n")))  # one row
-    leveled = rows.join(n).withColumn("level", F.when(F.col("id") * 10 >= F.col("_n") * 6, 0).otherwise(1).cast("long")).drop("_n")
+    n = (log.scalar(rows.agg(F.max("id"))) or 0) + 1
+    leveled = rows.withColumn("level", F.when(F.col("id") * 10 >= n * 6, 0).otherwise(1).cast("long"))
     return leveled.groupBy("level", "id", "key", "user_id").agg(F.max_by(F.struct("is_tombstone", "value", "seq"), F.col("seq")).alias("_v")).select("level", "id", "key", "user_id", "_v.*")
 
 
@@ -85,6 +85,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.ranges(sliced(spark, sf_dir))
 
 
+def _half(rows: DataFrame) -> float:
+    return (log.scalar(rows.agg(F.max("seq"))) or 0) / 2
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return table(spark, sf_dir, "events").select(
@@ -99,9 +103,9 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changelog(spark, sf_dir)
-    end = F.broadcast(rows.agg(F.max("seq").alias("_end")))  # one row
+    end = log.scalar(rows.agg(F.max("seq"))) or 0
     op = F.when(F.col("event_type") == "signup", "commit").when(F.col("is_tombstone"), "del").otherwise("put")
-    return rows.join(end).withColumn("op", op).withColumn("corrupt", (F.col("seq") % 997 == 996) & (F.col("seq") > F.col("_end") * 0.8)).drop("_end")
+    return rows.withColumn("op", op).withColumn("corrupt", (F.col("seq") % 997 == 996) & (F.col("seq") > end * 0.8))
 
 
 # Reads
@@ -189,9 +193,9 @@ def bloom_probe(spark, sf_dir):
 )
 def upsert_apply(spark, sf_dir):
     puts = changelog(spark, sf_dir).filter("NOT is_tombstone").select("key", "value", "seq")
-    half = F.broadcast(changelog(spark, sf_dir).agg((F.max("seq") / 2).alias("_h")))  # one row
-    base = merge.newest(puts.join(half).filter("seq <= _h").drop("_h"))
-    return merge.upsert(base, puts.join(half).filter("seq > _h").drop("_h"))
+    half = _half(changelog(spark, sf_dir))
+    base = merge.newest(puts.filter(F.col("seq") <= half))
+    return merge.upsert(base, puts.filter(F.col("seq") > half))
 
 
 @_query(
@@ -201,9 +205,9 @@ def upsert_apply(spark, sf_dir):
 )
 def delete_apply(spark, sf_dir):
     rows = changelog(spark, sf_dir)
-    half = F.broadcast(rows.agg((F.max("seq") / 2).alias("_h")))  # one row
-    base = merge.snapshot(rows.join(half).filter("seq <= _h")).select("key", "value", "seq")
-    return merge.delete(base, rows.join(half).filter("seq > _h AND is_tombstone AND user_id % 2 = 0"))
+    half = _half(rows)
+    base = merge.snapshot(rows.filter(F.col("seq") <= half)).select("key", "value", "seq")
+    return merge.delete(base, rows.filter((F.col("seq") > half) & F.col("is_tombstone") & (F.col("user_id") % 2 == 0)))
 
 
 @_query("old_value", "SELECT seq, key, CASE WHEN lag(is_tombstone) OVER w THEN NULL ELSE lag(value) OVER w END AS old_value FROM cl WINDOW w AS (PARTITION BY key ORDER BY seq)")
@@ -235,9 +239,8 @@ def flush_run(spark, sf_dir):
     from pyspark.sql.window import Window
 
     rows = changelog(spark, sf_dir)
-    last = F.broadcast(rows.agg(F.max("id").alias("_last")))  # one row
-    tail = merge.newest(rows.join(last).filter("id = _last"))
-    return runs.sized(tail).select("key", "value", "is_tombstone", "bytes", (F.row_number().over(Window.partitionBy("_last").orderBy("key")) - 1).cast("long").alias("pos"))
+    tail = merge.newest(rows.filter(F.col("id") == log.scalar(rows.agg(F.max("id"))))).withColumn("run", F.lit(1))
+    return runs.sized(tail).select("key", "value", "is_tombstone", "bytes", (F.row_number().over(Window.partitionBy("run").orderBy("key")) - 1).cast("long").alias("pos"))
 
 
 @_query("sparse_index", """SELECT level, id, pos, key, off AS "offset" FROM (SELECT CAST(level AS BIGINT) AS level, id, key, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY level, id) AS n, CAST(coalesce(sum(bytes) OVER (PARTITION BY level, id ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM runrec WINDOW w AS (PARTITION BY level, id ORDER BY key)) WHERE pos % 16 = 0 OR pos = n - 1""")
@@ -336,7 +339,7 @@ def compact_inputs_ln(spark, sf_dir):
 @_query("level_size", "SELECT level, count(*) AS n_runs, CAST(sum(bytes) AS BIGINT) AS bytes, level = (SELECT max(level) FROM files) AS is_max FROM files GROUP BY level")
 def level_size(spark, sf_dir):
     sizes = manifest.level_sizes(files(spark, sf_dir))
-    return sizes.join(F.broadcast(sizes.agg(F.max("level").alias("_max")))).select("level", "n_runs", "bytes", (F.col("level") == F.col("_max")).alias("is_max"))
+    return sizes.withColumn("is_max", F.col("level") == log.scalar(sizes.agg(F.max("level"))))
 
 
 @_query("run_order", "SELECT level, id, row_number() OVER (ORDER BY level, CASE WHEN level = 0 THEN -id END, first_key, last_key, id) AS place FROM files")
@@ -376,18 +379,17 @@ def manifest_replay(spark, sf_dir):
 def manifest_snapshot(spark, sf_dir):
     """What a checkpoint half-way through the log holds."""
     rows = actions(spark, sf_dir)
-    half = F.broadcast(rows.agg((F.max("seq") / 2).alias("_h")))  # one row
-    return manifest.live_runs(rows.join(half).filter("seq <= _h").drop("_h"))
+    return manifest.live_runs(rows.filter(F.col("seq") <= _half(rows)))
 
 
 @_query("manifest_recover", f"{_COMMITTED} {_LIVE.format('com')}")
 def manifest_recover(spark, sf_dir):
     """A half-way checkpoint and the committed actions after it."""
     rows = actions(spark, sf_dir)
-    half = F.broadcast(rows.agg((F.max("seq") / 2).alias("_h")))  # one row
-    checkpoint = manifest.live_runs(rows.join(half).filter("seq <= _h").drop("_h")).withColumn("action", F.lit("add"))
-    removed = _committed_actions(spark, sf_dir).join(half).filter("seq > _h").drop("_h")
-    return manifest.recovered(checkpoint, removed.select(*checkpoint.columns))
+    half = _half(rows)
+    checkpoint = manifest.live_runs(rows.filter(F.col("seq") <= half)).withColumn("action", F.lit("add"))
+    later = _committed_actions(spark, sf_dir).filter(F.col("seq") > half)
+    return manifest.recovered(checkpoint, later.select(*checkpoint.columns))
 
 
 @_query("orphan_files", f"SELECT DISTINCT level, id FROM act WHERE action = 'add' AND (level, id) NOT IN (SELECT (level, id) FROM ({_LIVE.format('act')}))")
@@ -424,10 +426,10 @@ def batch_commit(spark, sf_dir):
 def crash_recover(spark, sf_dir):
     """Runs hold all but the last block of changes; the log's committed part gives the rest."""
     rows = changelog(spark, sf_dir)
-    cut = F.broadcast(rows.agg((F.max("id") * 1000).alias("_c")))  # one row
+    cut = (log.scalar(rows.agg(F.max("id"))) or 0) * 1000
     names = ["key", "value", "is_tombstone", "seq"]
-    flushed = rows.join(cut).filter("seq < _c").select(*names)
-    tail = log.replay(wal(spark, sf_dir)).join(cut).filter("seq >= _c").select(*names)
+    flushed = rows.filter(F.col("seq") < cut).select(*names)
+    tail = log.replay(wal(spark, sf_dir)).filter(F.col("seq") >= cut).select(*names)
     return merge.snapshot(flushed.unionByName(tail)).select("key", "value", "seq")
 
 
