@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 SPACE = "▁"
-#: Chunks that the memo holds before it is emptied (some 50 MB).
-MEMO = 250_000
+#: Chunks that the memo holds before it is emptied (some 200 MB).
+MEMO = 600_000
 #: Tested pairs that are remembered before the memory is emptied (some 100 MB).
 MEMO_PAIRS = 1_000_000
 #: Longer chunks are not kept.
@@ -44,6 +44,8 @@ class PrefixTable:
         self.text: list[str] = []
         for i in range(n):
             piece = sp.id_to_piece(i)
+            if not sp.is_byte(i):
+                piece = piece.replace(SPACE, " ")
             self.text.append(piece)
             if sp.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
@@ -56,7 +58,7 @@ class PrefixTable:
             raise ValueError("the model has no byte fallback")
         if any(sp.normalize(s) != want for s, want in (("a", f"{SPACE}a"), (" a  b ", f"{SPACE}{SPACE}a{SPACE}{SPACE}b{SPACE}"), ("Åﬁ", f"{SPACE}Åﬁ"))):
             raise ValueError("only the identity normaliser with a dummy prefix is supported")
-        if any(SPACE in p.lstrip(SPACE) for p in self.rank):
+        if any(" " in p.lstrip(" ") for p in self.rank):
             raise ValueError("a piece continues past a space mark")
         #: The two pieces whose merge makes a piece; a single character has none.
         self.halves: dict[int, tuple[int, int]] = {}
@@ -70,6 +72,8 @@ class PrefixTable:
                 self.halves[i] = (self.rank[parts[0]][1], self.rank[parts[1]][1])
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
+        #: What an id decodes to on its own; None for bytes, controls and the unknown id.
+        self.plain = [None if i in self.byte_of or i in self.control or i == self.unknown else t for i, t in enumerate(self.text)]
         self.memo: dict[str, tuple[str, int, str]] = {}
 
     def merged(self, text: str, last: bool = False) -> list[str]:
@@ -147,10 +151,14 @@ class PrefixTable:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """The chunks of a text after normalising: each is a run of space marks and what follows up to the next."""
+        """The chunks of a text after normalising: each is a run of spaces and what follows up to the next.
+
+        Normalising makes a space mark of each space and puts one in front. A space stands for the mark here, so that texts of
+        Latin letters take one byte a character; a mark in the text is the same thing to the model.
+        """
         if not text:
             return []
-        return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
+        return _CHUNK.findall(" " + text.replace(SPACE, " "))
 
     def coded(self, chunk: str) -> tuple[str, int, str]:
         """Decimal ids joined by commas, their number, and the text that they decode to."""
@@ -169,6 +177,10 @@ class PrefixTable:
 
     def raw_decode(self, ids: list[int]) -> str:
         """The text of ids with the dummy prefix still on it."""
+        plain = self.plain
+        parts = [plain[i] for i in ids]
+        if None not in parts:
+            return "".join(parts)
         out: list[str] = []
         run = bytearray()
         for i in ids:
@@ -181,7 +193,7 @@ class PrefixTable:
                 run.clear()
             if i in self.control:
                 continue
-            out.append(" ⁇ " if i == self.unknown else self.text[i].replace(SPACE, " "))
+            out.append(" ⁇ " if i == self.unknown else self.text[i])
         if run:
             out.append(_utf8(bytes(run)))
         return "".join(out)
@@ -189,7 +201,7 @@ class PrefixTable:
     def decode(self, ids: list[int]) -> str:
         first = next((i for i in ids if i not in self.control), self.unknown)
         text = self.raw_decode(ids)
-        return text[1:] if self.text[first].startswith(SPACE) else text
+        return text[1:] if self.text[first].startswith(" ") else text
 
 
 def _utf8(raw: bytes) -> str:
@@ -209,7 +221,7 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-_CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_CHUNK = re.compile(" +[^ ]*|[^ ]+")
 _LOADED: dict[str, PrefixTable] = {}
 
 
