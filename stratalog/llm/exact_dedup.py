@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import fresh, text_or_empty, written
 
 SALTS = 16
 WHITE = r"[\x20\x09-\x0D]+"
@@ -88,8 +88,8 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
 def keep_first(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Needs non-null ids; rows without an id stay."""
-    kept = exact_groups(docs, salts).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha256", F.sha2(normalised(), 256))
-    named = rows.join(kept, (rows["doc_id"] == kept["_kept"]) & (rows["_sha256"] == kept["_sha"]), "left_semi")
-    one = named.dropDuplicates(["doc_id", "_sha256"]).drop("_sha256")
+    (sha,) = fresh(docs, "_sha256")
+    kept = exact_groups(docs, salts).filter("kept").select("doc_id", F.col("text_sha256").alias(sha))
+    named = docs.withColumn(sha, F.sha2(normalised(), 256)).join(kept, ["doc_id", sha], "left_semi")
+    one = named.dropDuplicates(["doc_id", sha]).drop(sha)
     return one.unionByName(docs.filter("doc_id IS NULL"))

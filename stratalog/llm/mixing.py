@@ -15,9 +15,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty, written
+from .common import fresh, shuffle_partitions, text_or_empty, written
 
 CHUNK = 16
+#: Columns that mix() adds.
+ADDED = ("n_copies", "copy_no", "shuffle_key")
 #: Rate tables of up to this many sources (some 50 bytes each) are broadcast; larger ones are joined.
 BROADCAST_SOURCES = 50_000
 
@@ -67,6 +69,11 @@ def poisson_count(rate: Column, seed: int, key: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1).cast("long"), parts), one), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def mixed_rows(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: float | None = None, seed: int = 42) -> DataFrame:
+    """The columns of ``docs`` as they are, each row as often as its Poisson count says, in a globally shuffled order."""
+    return _mixed(docs, fresh(docs, *ADDED), weights, budget, seed).select(*(f"`{c}`" for c in docs.columns))
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: float | None = None, seed: int = 42) -> DataFrame:
     """The columns of ``docs`` with n_copies, copy_no (from 1) and shuffle_key, in a globally shuffled order.
 
@@ -75,15 +82,20 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: flo
     empty string; rows that repeat an id get the same number of copies. Empty in, empty out. Input columns
     of the three added names are replaced.
     """
-    rates = source_rates(docs, weights, budget).drop("_mass")
+    return _mixed(docs.drop(*ADDED), list(ADDED), weights, budget, seed)
+
+
+def _mixed(base: DataFrame, added: list[str], weights: Mapping[str, float] | None, budget: float | None, seed: int) -> DataFrame:
+    n_copies, copy_no, shuffle_key = added
+    source, rate, part = fresh(base, "_source", "_rate", "_part")
+    rates = source_rates(base, weights, budget).select(F.col("_source").alias(source), F.col("_rate").alias(rate))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    base = docs.drop("n_copies", "copy_no", "shuffle_key")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    joined = base.withColumn("_source", F.coalesce("source", F.lit(""))).join(rates, "_source").drop("_source")
-    counted = joined.withColumn("n_copies", poisson_count(F.col("_rate"), seed, key)).drop("_rate").filter("n_copies > 0")
-    copies = counted.withColumn("copy_no", F.explode(F.expr("sequence(1L, n_copies)")))
-    keyed = copies.withColumn("shuffle_key", F.substring(F.md5(F.concat_ws("#", F.lit(str(seed)), key, F.col("copy_no").cast("string"))), 1, 16))
-    n = shuffle_partitions(docs.sparkSession)
-    part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") * F.lit(n) / F.lit(float(2**32))).cast("int")
-    return keyed.withColumn("_part", part).repartitionById(n, F.col("_part")).sortWithinPartitions("shuffle_key", "doc_id", "copy_no").drop("_part")
+    joined = base.withColumn(source, F.coalesce("source", F.lit(""))).join(rates, source).drop(source)
+    counted = joined.withColumn(n_copies, poisson_count(F.col(rate), seed, key)).drop(rate).filter(F.col(n_copies) > 0)
+    copies = counted.withColumn(copy_no, F.explode(F.sequence(F.lit(1).cast("long"), n_copies)))
+    keyed = copies.withColumn(shuffle_key, F.substring(F.md5(F.concat_ws("#", F.lit(str(seed)), key, F.col(copy_no).cast("string"))), 1, 16))
+    n = shuffle_partitions(base.sparkSession)
+    slot = F.floor(F.conv(F.substring(shuffle_key, 1, 8), 16, 10).cast("double") * F.lit(n) / F.lit(float(2**32))).cast("int")
+    return keyed.withColumn(part, slot).repartitionById(n, F.col(part)).sortWithinPartitions(shuffle_key, "doc_id", copy_no).drop(part)

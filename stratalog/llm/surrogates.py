@@ -13,16 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import fresh, text_or_empty, written
 
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Госпожа|госпожа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|господин"
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-_PHONE = r"(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])"
+_PHONE = r"(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d(?:[ .-]?\d){7,14}+(?!\d)|(?<![\w+.-])\d{3}(?:[.-]\d{3}[.-]| \d{3} )\d{4}(?![\d-]|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-_CARD = r"(?<![\d.])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)"
+_CARD = r"(?<![\d.])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|3[47]\d{2}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
 _NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?(?!\p{{L}})"
 PATTERN = "|".join([_MAIL, _IP, _PHONE, _SSN, _IBAN, _CARD.replace(r"\1", r"[ -]").replace("([ -])", "[ -]"), _NAME])
 #: Cheap test that every text with an entity passes.
@@ -77,7 +77,7 @@ def entity_type(raw: Column) -> Column:
         .when(whole(r"(?:\d{1,3}\.){3}\d{1,3}"), "ip")
         .when(whole(r"\d{3}-\d{2}-\d{4}"), "ssn")
         .when(whole(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4})+"), "iban")
-        .when(whole(r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}"), "card")
+        .when(whole(r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}"), "card")
         .when(raw.rlike(r"^\p{L}"), "name")
         .otherwise("phone")
     )
@@ -192,14 +192,15 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     spelled = found.join(drawn, ["type", "canon"]).select("doc_id", "raw", "kind", "k", _spelled(F.col("type"), F.col("shown"), F.col("new")).alias("part"))
     whole = spelled.groupBy("doc_id", "raw", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda p: p["part"]), " ").alias("new"))
     title = F.when(F.col("kind") == "name", F.concat(F.substring_index("raw", " ", 1), F.lit(" "))).otherwise("")
-    maps = whole.groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("raw", F.concat(title, F.col("new"))))).alias("_map"))
     base = docs.drop("n_entities")
+    of, map_, raws_ = fresh(base, "_id", "_map", "_raws")
+    maps = whole.groupBy(F.col("doc_id").alias(of)).agg(F.map_from_entries(F.collect_list(F.struct("raw", F.concat(title, F.col("new"))))).alias(map_))
     hit = text_or_empty().rlike(HINT)
     plain = base.filter(~hit).withColumn("n_entities", F.lit(0).cast("long"))
-    joined = base.filter(hit).join(maps, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = base.filter(hit).join(maps, F.col("doc_id").eqNullSafe(F.col(of)), "left")
     raws = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     between = F.split("text", PATTERN, -1)
-    woven = F.array_join(F.concat(F.array(F.element_at(between, 1)), F.zip_with(F.col("_raws"), F.slice(between, F.lit(2), F.size(between)), lambda r, b: F.concat(F.element_at("_map", r), b))), "")
-    done = joined.withColumn("_raws", F.when(F.col("_map").isNotNull(), raws)).withColumn("text", F.when(F.size("_raws") > 0, woven).otherwise(F.col("text")))
-    done = done.withColumn("n_entities", F.coalesce(F.greatest(F.size("_raws"), F.lit(0)), F.lit(0)).cast("long")).select(*plain.columns)
+    woven = F.array_join(F.concat(F.array(F.element_at(between, 1)), F.zip_with(F.col(raws_), F.slice(between, F.lit(2), F.size(between)), lambda r, b: F.concat(F.element_at(map_, r), b))), "")
+    done = joined.withColumn(raws_, F.when(F.col(map_).isNotNull(), raws)).withColumn("text", F.when(F.size(raws_) > 0, woven).otherwise(F.col("text")))
+    done = done.withColumn("n_entities", F.coalesce(F.greatest(F.size(raws_), F.lit(0)), F.lit(0)).cast("long")).select(*(f"`{c}`" for c in plain.columns))
     return plain.unionByName(done)

@@ -25,7 +25,7 @@ def docs(spark, rows=ROWS, extra=True):
     from pyspark.sql import functions as F
 
     # Names that operators use themselves.
-    for name in ("fp", "copy_no", "n_words", "score", "kept", "_dig", "path", "root"):
+    for name in ("fp", "copy_no", "n_words", "score", "kept", "_dig", "path", "root", "_sha256", "_kept", "_SOURCE", "_rate", "_part", "_raws", "_map", "_id", "keep_id"):
         df = df.withColumn(name, F.lit("own"))
     return df
 

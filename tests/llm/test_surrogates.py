@@ -14,6 +14,7 @@ TEXTS = [
     (4, "bob@a.org bobby@a.org bob@b.org"),
     (5, "nothing here 12 ab, version 3.0 of 1.2.3"),
     (6, "again ANNA.SMITH42@mail3.example.com and 4337166598464399"),
+    (7, "+14565552186 or 456 555 2186 or +49 30 1234567, Amex 3782 822463 10005; not 12 345 6789 or 2024 100 2000"),
 ]
 
 
@@ -38,7 +39,9 @@ def test_formats_coreference_and_distinctness(spark):
     assert len(set(mails)) == 3 and mails[0].split("@")[1] == mails[1].split("@")[1] != mails[2].split("@")[1]
     assert got[5] == (TEXTS[4][1], 0)
     assert a[1].lower() in got[6][0].lower() and b[1] in got[6][0]
-    assert [got[i][1] for i in range(1, 7)] == [4, 5, 5, 3, 0, 2]
+    d = re.fullmatch(r"\+1(\d{10}) or (\d{3} \d{3} \d{4}) or \+\d\d \d\d \d{7}, Amex (3\d{3} \d{6} \d{5}); not 12 345 6789 or 2024 100 2000", got[7][0])
+    assert d and d[1] == d[2].replace(" ", "") == a[3] + a[4].replace("-", "") and d[3] != "3782 822463 10005"
+    assert [got[i][1] for i in range(1, 8)] == [4, 5, 5, 3, 0, 2, 4]
 
 
 def test_keys_differ_and_runs_repeat(spark):

@@ -248,6 +248,9 @@ def test_mixing_on_edge_rows(spark):
     got = mixing.mix(d, seed=1)
     assert set(d.columns) | {"n_copies", "copy_no", "shuffle_key"} == set(got.columns)
     assert mixing.mix(empty(spark)).isEmpty()
+    own = d.withColumn("n_copies", F.lit("own"))
+    again = mixing.mixed_rows(own, seed=1)
+    assert again.columns == own.columns and {r["n_copies"] for r in again.collect()} == {"own"}
     keys = [r["shuffle_key"] for r in got.select("shuffle_key").collect()]
     assert keys == sorted(keys)  # partitions hold consecutive ranges
     assert mixing.mix(d, weights={"a": 1.0}).filter("source <> 'a' OR source IS NULL").isEmpty()
