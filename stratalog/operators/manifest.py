@@ -7,6 +7,10 @@ BROADCAST_FILES rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,6 +77,39 @@ def rotation_pick(files: DataFrame, cursors: DataFrame) -> DataFrame:
     return cursors.join(metadata(spans), "level").withColumn("_best", best).filter("_best = 1").select("level", "compact_key", "id")
 
 
+def rotation_replay(actions: DataFrame) -> DataFrame:
+    """seq, level, id, compact_key: of each next_compact action, the run it takes and where the cursor goes.
+
+    actions has seq, action, level, id, first_key. Every step depends on the runs that are live at that moment, so each
+    level is an ordered fold; it is streamed through its task and holds the level's live runs. A level without one gives
+    no row.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        level, cursor, live, starts = None, None, {}, []
+        for frame in batches:
+            out = []
+            for at, seq, action, run, first in zip(frame["level"], frame["seq"], frame["action"], frame["id"], frame["first_key"]):
+                if at != level:
+                    level, cursor, live, starts = at, None, {}, []
+                if action == "next_compact" and starts:
+                    taken = 0 if cursor is None else bisect_right(starts, (cursor, float("inf"))) - 1
+                    cursor = starts[(taken + 1) % len(starts)][0]
+                    out.append((seq, level, starts[taken][1], cursor))
+                elif action in ("add", "remove"):
+                    if run in live:
+                        del starts[bisect_left(starts, (live.pop(run), run))]
+                    if action == "add":
+                        live[run] = first
+                        insort(starts, (first, run))
+            yield pd.DataFrame(out, columns=["seq", "level", "id", "compact_key"])
+
+    steps = actions.filter("action IN ('add', 'remove', 'next_compact')").select("level", "seq", "action", "id", "first_key")
+    types = dict(steps.dtypes)
+    ordered = steps.repartition("level").sortWithinPartitions("level", "seq")
+    return ordered.mapInPandas(fold, f"seq {types['seq']}, level {types['level']}, id {types['id']}, compact_key {types['first_key']}")
+
+
 def live_runs(actions: DataFrame) -> DataFrame:
     """The newest of each run's add and remove actions, where it is an add: level, id, first_key, last_key, seq."""
     rank = F.row_number().over(Window.partitionBy("level", "id").orderBy(F.col("seq").desc()))

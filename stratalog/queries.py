@@ -1,7 +1,8 @@
 """The engine's queries over the driver's tables, each beside the SQL that gives the same rows.
 
-The events table stands in for a changelog: key is the user, seq the event, an error deletes. Runs are blocks of 1,000
-events; in the store layout the newest two fifths are on level 0. For range queries each run keeps only a slice of the keys.
+The events table stands in for a changelog: key is the user, seq the event, an error deletes. In the store layout every event is
+in a run: the newest two fifths are on level 0, whose runs are blocks of 1,000 events cut by key, and the older ones on level 1,
+whose runs are disjoint key ranges.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ cl AS (SELECT event_id AS seq, lpad(CAST(user_id AS VARCHAR), 8, '0') AS key, us
               CASE WHEN event_type <> 'error' THEN props END AS value, event_type, CAST(floor(event_id / 1000) AS BIGINT) AS id FROM events),
 sz AS (SELECT *, CAST(strlen(key) + CASE WHEN is_tombstone THEN 12 ELSE coalesce(strlen(value), 0) + 20 END AS BIGINT) AS bytes FROM cl),
 latest AS (SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rk FROM sz) WHERE rk = 1),
-leveled AS (SELECT *, CASE WHEN id * 10 >= 6 * ((SELECT max(id) FROM sz) + 1) THEN 0 ELSE 1 END AS level FROM sz),
+placed AS (SELECT *, CASE WHEN id * 10 >= 6 * ((SELECT max(id) FROM sz) + 1) THEN 0 ELSE 1 END AS level FROM sz),
+leveled AS (SELECT * EXCLUDE (id), CASE level WHEN 0 THEN id * 1000000000 + user_id // 75 ELSE user_id // 40 END AS id FROM placed),
 runrec AS (SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY level, id, key ORDER BY seq DESC) AS rk FROM leveled) WHERE rk = 1),
-sliced AS (SELECT * FROM runrec WHERE user_id BETWEEN id * 12 AND id * 12 + 40),
-files AS (SELECT CAST(level AS BIGINT) AS level, id, min(key) AS first_key, max(key) AS last_key, count(*) AS n_rows, CAST(sum(bytes) AS BIGINT) AS bytes FROM sliced GROUP BY level, id),
+files AS (SELECT CAST(level AS BIGINT) AS level, id, min(key) AS first_key, max(key) AS last_key, count(*) AS n_rows, CAST(sum(bytes) AS BIGINT) AS bytes FROM runrec GROUP BY level, id),
 act AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'add' WHEN 'view' THEN 'remove' WHEN 'click' THEN 'new_id' ELSE 'commit' END AS action,
                user_id % 3 AS level, user_id % 17 AS id, lpad(CAST(user_id % 50 AS VARCHAR), 8, '0') AS first_key, lpad(CAST(user_id % 50 + 40 AS VARCHAR), 8, '0') AS last_key FROM events),
 wal AS (SELECT *, CASE WHEN event_type = 'signup' THEN 'commit' WHEN is_tombstone THEN 'del' ELSE 'put' END AS op, seq % 997 = 996 AND seq > (SELECT max(seq) FROM cl) * 0.8 AS corrupt FROM cl),
@@ -73,16 +74,14 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all runs: each run holds one version of a key."""
     rows = changelog(spark, sf_dir)
     n = (log.scalar(rows.agg(F.max("id"))) or 0) + 1
-    leveled = rows.withColumn("level", F.when(F.col("id") * 10 >= n * 6, 0).otherwise(1).cast("long"))
+    placed = rows.withColumn("level", F.when(F.col("id") * 10 >= n * 6, 0).otherwise(1).cast("long"))
+    young = F.col("id") * 1_000_000_000 + F.floor(F.col("user_id") / 75)
+    leveled = placed.withColumn("id", F.when(F.col("level") == 0, young).otherwise(F.floor(F.col("user_id") / 40)))
     return leveled.groupBy("level", "id", "key", "user_id").agg(F.max_by(F.struct("is_tombstone", "value", "seq"), F.col("seq")).alias("_v")).select("level", "id", "key", "user_id", "_v.*")
 
 
-def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_records(spark, sf_dir).filter(F.col("user_id").between(F.col("id") * 12, F.col("id") * 12 + 40))
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.ranges(sliced(spark, sf_dir))
+    return runs.ranges(run_records(spark, sf_dir))
 
 
 def _half(rows: DataFrame) -> float:
@@ -127,9 +126,9 @@ def point_get(spark, sf_dir):
     return merge.point_get(changelog(spark, sf_dir), "00000009").select("key", "value", "seq")
 
 
-@_query("multi_get", "SELECT k.key, l.value, l.key IS NOT NULL AS found FROM (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer WHERE c_custkey % 7 = 0) k LEFT JOIN (SELECT * FROM latest WHERE NOT is_tombstone) l ON k.key = l.key")
+@_query("multi_get", "SELECT k.key, l.value, l.key IS NOT NULL AS found FROM (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer) k LEFT JOIN (SELECT * FROM latest WHERE NOT is_tombstone) l ON k.key = l.key")
 def multi_get(spark, sf_dir):
-    keys = table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select(padded(F.col("c_custkey")).alias("key"))
+    keys = table(spark, sf_dir, "customer").select(padded(F.col("c_custkey")).alias("key"))
     return merge.multi_get(changelog(spark, sf_dir), keys).select("key", "value", "found")
 
 
@@ -153,9 +152,9 @@ def key_bounds(spark, sf_dir):
     return changelog(spark, sf_dir).groupBy("id").agg(F.min("key").alias("front"), F.max("key").alias("back"))
 
 
-@_query("run_scan", "SELECT key, value, is_tombstone FROM runrec WHERE id = 3 AND key BETWEEN '00000005' AND '00000060'")
+@_query("run_scan", "SELECT key, value, is_tombstone FROM runrec WHERE level = 1 AND id = 0 AND key BETWEEN '00000005' AND '00000020'")
 def run_scan(spark, sf_dir):
-    return run_records(spark, sf_dir).filter((F.col("id") == 3) & F.col("key").between("00000005", "00000060")).select("key", "value", "is_tombstone")
+    return run_records(spark, sf_dir).filter((F.col("level") == 1) & (F.col("id") == 0) & F.col("key").between("00000005", "00000020")).select("key", "value", "is_tombstone")
 
 
 @_query("level_scan", "SELECT id, key, value, is_tombstone FROM runrec WHERE level = 1")
@@ -168,10 +167,9 @@ def run_ranges(spark, sf_dir):
     return files(spark, sf_dir).select("level", "id", "first_key", "last_key", "n_rows")
 
 
-@_query("runs_for_key", "SELECT k.key, level, id FROM (SELECT DISTINCT key FROM cl WHERE user_id % 50 = 0) k JOIN files ON first_key <= k.key AND k.key <= last_key")
+@_query("runs_for_key", "SELECT k.key, level, id FROM (SELECT DISTINCT key FROM cl) k JOIN files ON first_key <= k.key AND k.key <= last_key")
 def runs_for_key(spark, sf_dir):
-    keys = changelog(spark, sf_dir).filter("user_id % 50 = 0").select("key")
-    return manifest.runs_for_keys(files(spark, sf_dir), keys)
+    return manifest.runs_for_keys(files(spark, sf_dir), changelog(spark, sf_dir).select("key"))
 
 
 @_query("bloom_probe", "SELECT DISTINCT key, TRUE AS maybe FROM cl WHERE NOT is_tombstone")
@@ -201,13 +199,13 @@ def upsert_apply(spark, sf_dir):
 @_query(
     "delete_apply",
     """, half AS (SELECT max(seq) / 2 AS h FROM cl), base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rk FROM cl, half WHERE seq <= h) WHERE rk = 1 AND NOT is_tombstone)
-    SELECT key, value, seq FROM base WHERE key NOT IN (SELECT key FROM cl, half WHERE is_tombstone AND seq > h AND user_id % 2 = 0)""",
+    SELECT key, value, seq FROM base WHERE key NOT IN (SELECT key FROM cl, half WHERE is_tombstone AND seq > h)""",
 )
 def delete_apply(spark, sf_dir):
     rows = changelog(spark, sf_dir)
     half = _half(rows)
     base = merge.snapshot(rows.filter(F.col("seq") <= half)).select("key", "value", "seq")
-    return merge.delete(base, rows.filter((F.col("seq") > half) & F.col("is_tombstone") & (F.col("user_id") % 2 == 0)))
+    return merge.delete(base, rows.filter((F.col("seq") > half) & F.col("is_tombstone")))
 
 
 @_query("old_value", "SELECT seq, key, CASE WHEN lag(is_tombstone) OVER w THEN NULL ELSE lag(value) OVER w END AS old_value FROM cl WINDOW w AS (PARTITION BY key ORDER BY seq)")
@@ -294,10 +292,10 @@ def compact_inputs_l0(spark, sf_dir):
 @_query(
     "compact_l0",
     """, span AS (SELECT min(first_key) AS lo, max(last_key) AS hi FROM files WHERE level = 0), ins AS (SELECT level, id FROM files, span WHERE level = 0 OR (last_key >= lo AND first_key <= hi))
-    SELECT key, value FROM (SELECT s.*, row_number() OVER (PARTITION BY key ORDER BY s.level, s.id DESC) AS rk FROM sliced s JOIN ins ON ins.level = s.level AND ins.id = s.id) WHERE rk = 1 AND NOT is_tombstone""",
+    SELECT key, value FROM (SELECT s.*, row_number() OVER (PARTITION BY key ORDER BY s.level, s.id DESC) AS rk FROM runrec s JOIN ins ON ins.level = s.level AND ins.id = s.id) WHERE rk = 1 AND NOT is_tombstone""",
 )
 def compact_l0(spark, sf_dir):
-    records = sliced(spark, sf_dir)
+    records = run_records(spark, sf_dir)
     taken = manifest.metadata(compaction.inputs_level0(runs.ranges(records)))
     merged = merge.newest(records.join(taken, ["level", "id"], "left_semi"), merge.run_recency())
     return merge.purge(merged, 1, 1).select("key", "value")
@@ -327,6 +325,13 @@ def rotation_next(spark, sf_dir):
     return manifest.rotation_next(files(spark, sf_dir))
 
 
+@_query("rotation_replay")
+def rotation_replay(spark, sf_dir):
+    """The cursor's way through a log whose id allocations each begin a compaction of their level."""
+    rows = actions(spark, sf_dir)
+    return manifest.rotation_replay(rows.withColumn("action", F.when(F.col("action") == "new_id", "next_compact").otherwise(F.col("action"))))
+
+
 @_query("compact_inputs_ln", f"""{_CURSOR}, moved AS (SELECT level + 1 AS level, id, first_key, last_key FROM files), v AS (SELECT m.* FROM p JOIN moved m ON p.rk = 1 AND m.level = p.level + 1 AND m.id = p.id WHERE p.compact_key IS NOT NULL)
     SELECT level, id, level AS victim_level FROM v UNION ALL SELECT m.level, m.id, v.level FROM v JOIN moved m ON m.level = v.level + 1 AND m.last_key >= v.first_key AND m.first_key <= v.last_key""")
 def compact_inputs_ln(spark, sf_dir):

@@ -268,7 +268,7 @@ class Store:
         taken = runs
         if level > 0:
             at = cursors.get(str(level), runs[0].first_key)
-            i = max((i for i, r in enumerate(runs) if r.first_key <= at), default=0)
+            i = max((i for i, r in enumerate(runs) if r.first_key <= at), default=len(runs) - 1)
             taken = [runs[i]]
             cursors[str(level)] = runs[(i + 1) % len(runs)].first_key
         low, high = min(r.first_key for r in taken), max(r.last_key for r in taken)

@@ -38,3 +38,26 @@ def test_flush_boundaries_match_a_fold(spark):
         state[shard] = (flush + 1, {}) if sum(held.values()) >= LIMIT_FLUSH else (flush, held)
     got = {(r["shard"], r["flush"]): (r["first_seq"], r["last_seq"], r["changes"]) for r in QUERIES["flush_boundaries"](spark, SF).collect()}
     assert got == {k: (min(v), max(v), len(v)) for k, v in want.items()}
+
+
+def test_rotation_follows_a_loop_over_the_log(spark):
+    from stratalog.queries import actions
+
+    rows = sorted(actions(spark, SF).collect(), key=lambda r: r["seq"])
+    live: dict[int, dict[int, str]] = {}
+    cursor: dict[int, str] = {}
+    want = []
+    for r in rows:
+        at = live.setdefault(r["level"], {})
+        if r["action"] == "add":
+            at[r["id"]] = r["first_key"]
+        elif r["action"] == "remove":
+            at.pop(r["id"], None)
+        elif r["action"] == "new_id" and at:
+            order = sorted((k, i) for i, k in at.items())
+            below = [j for j, (k, _) in enumerate(order) if r["level"] in cursor and k <= cursor[r["level"]]]
+            taken = below[-1] if below else len(order) - 1 if r["level"] in cursor else 0
+            cursor[r["level"]] = order[(taken + 1) % len(order)][0]
+            want.append((r["seq"], r["level"], order[taken][1], cursor[r["level"]]))
+    got = [(r["seq"], r["level"], r["id"], r["compact_key"]) for r in QUERIES["rotation_replay"](spark, SF).collect()]
+    assert sorted(got) == want and len(want) > 50
