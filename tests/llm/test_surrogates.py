@@ -51,10 +51,10 @@ def test_keys_differ_and_runs_repeat(spark):
 
 def test_clashes_are_drawn_again(spark):
     # One digit in ten: the mails n@x.org have few surrogates, and each may be another's original.
-    found = spark.createDataFrame([("mail", f"{c}{d}@x.org") for c in "abcdefghijklmnop" for d in range(10)], "type string, canon string")
+    found = spark.createDataFrame([("mail", f"{c}{d}@x.org") for c in "abcdefgh" for d in range(10)], "type string, canon string")
     got = S.assign(found, "k").collect()
     new = [r["new"] for r in got]
-    assert len(got) == 160 == len(set(new)) and not set(new) & {r["canon"] for r in got}
+    assert len(got) == 80 == len(set(new)) and not set(new) & {r["canon"] for r in got}
 
 
 def test_a_longer_name_is_drawn_when_short_ones_run_out(spark):
