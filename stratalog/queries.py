@@ -84,8 +84,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.ranges(run_records(spark, sf_dir))
 
 
-def _half(rows: DataFrame) -> float:
-    return (log.scalar(rows.agg(F.max("seq"))) or 0) / 2
+def _half(rows: DataFrame, share: float = 0.5) -> float:
+    """Where that share of the log ends."""
+    return (log.scalar(rows.agg(F.max("seq"))) or 0) * share
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,12 +199,12 @@ def upsert_apply(spark, sf_dir):
 
 @_query(
     "delete_apply",
-    """, half AS (SELECT max(seq) / 2 AS h FROM cl), base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rk FROM cl, half WHERE seq <= h) WHERE rk = 1 AND NOT is_tombstone)
+    """, half AS (SELECT max(seq) * 0.95 AS h FROM cl), base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rk FROM cl, half WHERE seq <= h) WHERE rk = 1 AND NOT is_tombstone)
     SELECT key, value, seq FROM base WHERE key NOT IN (SELECT key FROM cl, half WHERE is_tombstone AND seq > h)""",
 )
 def delete_apply(spark, sf_dir):
     rows = changelog(spark, sf_dir)
-    half = _half(rows)
+    half = _half(rows, 0.95)
     base = merge.snapshot(rows.filter(F.col("seq") <= half)).select("key", "value", "seq")
     return merge.delete(base, rows.filter((F.col("seq") > half) & F.col("is_tombstone")))
 
