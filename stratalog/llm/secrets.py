@@ -3,8 +3,9 @@
 A worklist starts with the text itself. Each layer is scanned, then unwrapped: URL escapes, Unicode
 escapes and character references each give the whole layer again with those sequences decoded; every
 base64 run that decodes to readable text, or to a gzip, zlib or Zstandard stream of readable text, gives
-a layer of its own. New layers go on the worklist until none is left; a layer seen before in the
-same document is not entered again, which ends cycles (a stream that unpacks to itself, for one).
+a layer of its own. New layers go on the worklist until none is left. A layer of the same content and spans as one
+seen before is not entered again, nor one of the content of a layer that it came from, which ends cycles (a stream
+that unpacks to itself, for one); equal content that stands elsewhere is a layer of its own.
 Every layer keeps, for each of its characters, the span of the original text that it came from.
 """
 
@@ -161,12 +162,12 @@ def scan(text: str) -> tuple[list[Span], list[Span], list[str], int]:
     """Base spans; those that deeper layers add; the chains of the layers entered; how many were cut."""
     base = base_spans(text)
     found, added = set(base), []
-    seen = {_key(text)}
-    work = deque([(text, None, None, "")])
+    seen: set[tuple[bytes, bytes]] = set()
+    work = deque([(text, None, None, "", frozenset([_key(text)]))])
     chains: list[str] = []
     cuts = 0
     while work:
-        layer, starts, ends, chain = work.popleft()
+        layer, starts, ends, chain, path = work.popleft()
         if chain:
             for kind, a, b in base_spans(layer):
                 span = (kind, int(starts[a]), int(ends[b - 1]))
@@ -193,10 +194,10 @@ def scan(text: str) -> tuple[list[Span], list[Span], list[str], int]:
                     s, e = origin(at + s), origin_end(at + np.minimum(e, len(m[0])) - 1)
                 new.append((inner, s, e, name))
         for inner, s, e, name in new:
-            if (key := _key(inner)) not in seen:
-                seen.add(key)
+            if (key := _key(inner)) not in path and (place := (key, _place(s, e))) not in seen:
+                seen.add(place)
                 chains.append(f"{chain}>{name}" if chain else name)
-                work.append((inner, s, e, chains[-1]))
+                work.append((inner, s, e, chains[-1], path | {key}))
     return base, added, chains, cuts
 
 
@@ -204,6 +205,13 @@ def _key(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def _place(starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Digest of a layer's spans."""
+    if starts[0] == starts[-1] and ends[0] == ends[-1]:  # they ascend
+        starts, ends = starts[:1], ends[:1]
+    return hashlib.blake2b(np.r_[starts, ends].astype("<i8").tobytes(), digest_size=16).digest()
+
+
 def spelled(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 

@@ -230,6 +230,15 @@ def test_cycles_end_and_plain_texts_have_no_layers():
     assert secrets.scan("just words " * 1000)[2] == []
 
 
+def test_equal_blobs_each_give_spans():
+    for wrap in (lambda s: base64.b64encode(s).decode(), lambda s: base64.b64encode(gzip.compress(s, mtime=0)).decode()):
+        blob = wrap(b"password=hunter2secret")
+        text = f"first {blob} middle {blob} end {urllib.parse.quote(blob + ' ')}"
+        at = [i for i in range(len(text)) if text.startswith(blob.rstrip("="), i)]
+        added = secrets.scan(text)[1]
+        assert len(at) == 3 and all(any(i <= a < b <= i + len(blob) + 4 for _, a, b in added) for i in at)
+
+
 def test_secrets_on_edge_rows(spark):
     got = secrets.find_secrets(docs(spark))
     assert got.count() == len(ROWS) and got.filter("spans <> ''").isEmpty()
