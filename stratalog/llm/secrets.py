@@ -30,7 +30,8 @@ KINDS = ("assign", "access", "hex")
 MIN_VALUE = 6
 #: Unpacked streams are cut here; the row says so in ``cut_layers``. This bounds memory against bombs.
 MAX_UNPACKED = 32 << 20
-MIN_BASE64 = 20
+#: Length of the shortest base match (12 characters) in base64.
+MIN_BASE64 = 16
 
 _WORDS = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -239,6 +239,14 @@ def test_equal_blobs_each_give_spans():
         assert len(at) == 3 and all(any(i <= a < b <= i + len(blob) + 4 for _, a, b in added) for i in at)
 
 
+@pytest.mark.parametrize("secret", ["token=abc123", "token=12345678", "secret=abcdef", "api_key=abcdef"])
+def test_shortest_secrets_in_base64(secret):
+    once = base64.b64encode(secret.encode()).decode()
+    for blob in (once, base64.b64encode(once.encode()).decode()):
+        text = f"a {blob} b"
+        assert [(k, a) for k, a, b in secrets.scan(text)[1] if 2 + len(blob) - 4 <= b <= 2 + len(blob)] == [("assign", 2)]
+
+
 def test_secrets_on_edge_rows(spark):
     got = secrets.find_secrets(docs(spark))
     assert got.count() == len(ROWS) and got.filter("spans <> ''").isEmpty()
