@@ -1,9 +1,9 @@
 """Secret scans over every encoding layer of a text.
 
 A worklist starts with the text itself. Each layer is scanned, then unwrapped: URL escapes, Unicode
-escapes and character references each give the whole layer again with those sequences decoded; every
-base64 run that decodes to readable text, or to a gzip, zlib or Zstandard stream of readable text, gives
-a layer of its own. New layers go on the worklist until none is left. A layer of the same content and spans as one
+escapes and character references each give the whole layer again with those sequences decoded; every stretch
+of readable text that a base64 run holds at any alignment, plainly or in a gzip, zlib or Zstandard stream,
+gives a layer of its own. A run is taken by itself and joined over line ends, also escaped ones. New layers go on the worklist until none is left. A layer of the same content and spans as one
 seen before is not entered again, nor one of the content of a layer that it came from, which ends cycles (a stream
 that unpacks to itself, for one); equal content that stands elsewhere is a layer of its own.
 Every layer keeps, for each of its characters, the span of the original text that it came from.
@@ -11,7 +11,7 @@ Every layer keeps, for each of its characters, the span of the original text tha
 
 from __future__ import annotations
 
-import base64
+import binascii
 import hashlib
 import html
 import re
@@ -40,7 +40,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|amp|lt|gt|apos);")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_BASE64)
+#: A line end, also an escaped one, with what indents the next line.
+_LINE_END = r"(?:\r\n?|\n|\\r\\n|\\[rn])[ \t]*"
+_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*{_LINE_END}[A-Za-z0-9+/_-]++)+")
+_ENDS = re.compile(rf"[ \t]*{_LINE_END}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
+#: UTF-8 without control characters, as many characters as a base match has at least.
+_READABLE = re.compile(
+    rb"(?:[\x09-\x0d\x20-\x7e]|\xc2[\xa0-\xbf]|[\xc3-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
+    rb"|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}+"
+)
 _URLSAFE = str.maketrans("-_", "+/")
 
 Span = tuple[str, int, int]
@@ -109,54 +119,93 @@ def _unicode(run: str) -> list[tuple[str, int]] | None:
     return [(char, len(run))]
 
 
-def _readable(raw: bytes) -> str | None:
+def _unpacked(raw: bytes) -> tuple[bytes, bool, int] | None:
+    """A gzip, zlib or Zstandard stream's content, whether it was cut or has not reached its end, and its length."""
+    out = b""
     try:
-        text = raw.decode()
-    except UnicodeDecodeError:
+        if raw[:4] == b"\x28\xb5\x2f\xfd":
+            d = zstandard.ZstdDecompressor().decompressobj()
+            for at in range(0, len(raw), 256):
+                out += d.decompress(raw[at : at + 256])
+                if d.eof or len(out) > MAX_UNPACKED:
+                    break
+            return out[:MAX_UNPACKED], not d.eof or len(out) > MAX_UNPACKED, min(at + 256, len(raw)) - len(d.unused_data)
+        if raw[:2] == b"\x1f\x8b" or _is_zlib(raw):
+            d = zlib.decompressobj(31 if raw[:1] == b"\x1f" else 15)
+            out = d.decompress(raw, MAX_UNPACKED)
+            return out, not d.eof, len(raw) - len(d.unused_data)
+    except (zlib.error, zstandard.ZstdError):
         return None
-    return text if text and not _CONTROL.search(text) else None
+    return None
 
 
-_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
+def _is_zlib(raw: bytes) -> bool:
+    return raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0
 
 
-def _unpacked(raw: bytes) -> tuple[bytes, bool] | None:
-    """A gzip, zlib or Zstandard stream's content, and whether it was cut."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            return d.decompress(raw, MAX_UNPACKED), bool(d.unconsumed_tail)
-        if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            d = zlib.decompressobj()
-            return d.decompress(raw, MAX_UNPACKED), bool(d.unconsumed_tail)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(raw).read(MAX_UNPACKED + 1)
-            return out[:MAX_UNPACKED], len(out) > MAX_UNPACKED
-    except (zlib.error, zstandard.ZstdError):
-        return None
-    return None
+def _segments(raw: bytes) -> Iterator[tuple[int, str]]:
+    """Each stretch of readable UTF-8 long enough for a base match, and where it starts."""
+    for m in _READABLE.finditer(raw):
+        yield m.start(), m[0].decode()
 
 
-def _from_base64(run: str) -> tuple[str, np.ndarray | None, np.ndarray | None, str, bool] | None:
-    """Text of a base64 run, and for each character the range of the run it came from (None: the whole run)."""
-    body = run.rstrip("=").translate(_URLSAFE)
-    if len(body) % 4 == 1:
-        return None
-    raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    cut, chain, whole = False, "base64", False
+def _from_base64(body: str, lines: bool) -> Iterator[tuple[str, np.ndarray, np.ndarray, str, bool]]:
+    """Texts that a base64 run holds at any of its four alignments, and for each character the range of the run it came from.
+
+    Compressed streams are not looked for in the lines of a run that goes on over line ends.
+    """
+    body = body.translate(_URLSAFE)
+    for shift in range(4):
+        part = body[shift:]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        if len(part) < MIN_BASE64:
+            return
+        raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+        for at, text in _segments(raw):
+            ends = at + np.cumsum([len(c.encode()) for c in text])
+            starts = np.r_[at, ends[:-1]]
+            yield text, shift + starts * 8 // 6, shift + np.minimum(-(-ends * 8 // 6), len(part)), "base64", False
+        for m in () if lines else _MAGIC.finditer(raw):
+            yield from _from_stream(raw, m.start(), shift, len(body))
+
+
+def _from_stream(raw: bytes, at: int, shift: int, size: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, str, bool]]:
+    chain, cut, inner = "base64", False, raw[at:]
+    # Two bytes are no proof of a zlib stream inside a run: one that breaks off counts if it holds readable text.
+    sure = not _is_zlib(inner) or at == shift == 0
     seen: set[bytes] = set()
-    while (got := _unpacked(raw)) is not None and raw not in seen:
-        seen.add(raw)
-        raw, more = got
-        cut, whole, chain = cut or more, True, chain + ">unpack"
-    text = _readable(raw if not cut else raw.decode("utf-8", "ignore").encode())
-    if text is None:
-        return None
-    if whole:
-        return text, None, None, chain, cut
-    ends = np.cumsum([len(c.encode()) for c in text])
-    starts = np.r_[0, ends[:-1]]
-    return text, starts * 8 // 6, -(-ends * 8 // 6), chain, cut
+    while inner not in seen and (got := _unpacked(inner)) is not None:
+        if not seen:
+            size = min(size, shift - (at + got[2]) * 8 // -6)
+        seen.add(inner)
+        inner, more, _ = got
+        cut, chain = cut or more, chain + ">unpack"
+    first = shift + at * 8 // 6
+    texts = list(_segments(inner)) if seen else []
+    if cut and sure and not texts:
+        yield "", np.empty(0, np.int64), np.empty(0, np.int64), chain, True
+    for i, (_, text) in enumerate(texts):
+        yield text, np.full(len(text), first), np.full(len(text), size), chain, cut and not i
+
+
+def _runs(layer: str) -> Iterator[tuple[np.ndarray, str, bool]]:
+    """Base64 runs: the place of each character, the characters, and whether it is a line of a longer run."""
+    covered = []
+    for m in _LINES.finditer(layer):
+        mask = np.ones(m.end() - m.start(), bool)
+        # An escaped line end has a letter of the alphabet in it, so the line ends are matched, not the other characters.
+        for j in _ENDS.finditer(m[0]):
+            mask[j.start() : j.end()] = False
+        at = np.flatnonzero(mask)
+        if len(at) >= MIN_BASE64:
+            yield m.start() + at, _ENDS.sub("", m[0]), False
+            covered.append((m.start(), m.end()))
+    i = 0
+    for m in _BASE64.finditer(layer):
+        while i < len(covered) and covered[i][1] <= m.start():
+            i += 1
+        yield np.arange(m.start(), m.end()), m[0], i < len(covered) and covered[i][0] <= m.start()
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], list[str], int]:
@@ -182,20 +231,14 @@ def scan(text: str) -> tuple[list[Span], list[Span], list[str], int]:
                     starts, ends = np.arange(len(layer)), np.arange(1, len(layer) + 1)
                 if got := _rewritten(layer, starts, ends, pattern, decode):
                     new.append((*got, name))
-        for m in _BASE64.finditer(layer):
-            if got := _from_base64(m[0]):
-                inner, s, e, name, cut = got
+        for at, body, lines in _runs(layer):
+            for inner, s, e, name, cut in _from_base64(body, lines):
                 cuts += cut
-                at, size = m.start(), len(inner)
-                origin = (lambda i: i) if starts is None else (lambda i: starts[i])
-                origin_end = (lambda i: i + 1) if ends is None else (lambda i: ends[i])
-                if s is None:
-                    s, e = np.full(size, origin(at)), np.full(size, origin_end(m.end() - 1))
-                else:
-                    s, e = origin(at + s), origin_end(at + np.minimum(e, len(m[0])) - 1)
-                new.append((inner, s, e, name))
+                s, e = at[s], at[e - 1]
+                new.append((inner, s, e + 1) if starts is None else (inner, starts[s], ends[e]))
+                new[-1] += (name,)
         for inner, s, e, name in new:
-            if (key := _key(inner)) not in path and (place := (key, _place(s, e))) not in seen:
+            if inner and (key := _key(inner)) not in path and (place := (key, _place(s, e))) not in seen:
                 seen.add(place)
                 chains.append(f"{chain}>{name}" if chain else name)
                 work.append((inner, s, e, chains[-1], path | {key}))

@@ -247,6 +247,38 @@ def test_shortest_secrets_in_base64(secret):
         assert [(k, a) for k, a, b in secrets.scan(text)[1] if 2 + len(blob) - 4 <= b <= 2 + len(blob)] == [("assign", 2)]
 
 
+def lined(blob, end, width=64):
+    return end.join(blob[i : i + width] for i in range(0, len(blob), width))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\n    "])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, zstandard.compress])
+def test_wrapped_base64(end, pack):
+    noise = "".join(hashlib.sha256(bytes([i])).hexdigest()[:20] + "\n" for i in range(20))
+    for at in range(40, 50):
+        inner = f"{noise}{'x' * at} {SECRET} {noise}"
+        blob = lined(base64.b64encode(pack(inner.encode())).decode().rstrip("="), end)
+        text = f"see the\n{blob}\nafter that"
+        _, added, _, cut = secrets.scan(text)
+        assert cut == 0 and any(k == "assign" and text.index(blob) <= a < b <= text.index(blob) + len(blob) + 1 for k, a, b in added)
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zstandard.compress])
+@pytest.mark.parametrize("glue", ["path/", "a/", "ab_", "x-y-z_", ""])
+def test_runs_glued_to_other_characters(glue, pack):
+    for tail in ("", "A", "/x", "_ab", "=", "=="):
+        text = f"in {glue}{base64.b64encode(pack(SECRET.encode())).decode().rstrip('=')}{tail} end"
+        _, added, _, cut = secrets.scan(text)
+        assert cut == 0 and any(k == "assign" and a >= 3 + len(glue) - 1 for k, a, b in added)
+
+
+def test_a_stream_without_its_end_is_reported():
+    noise = "".join(hashlib.sha256(bytes([i])).hexdigest() + "\n" for i in range(200))
+    for pack in (gzip.compress, zlib.compress, zstandard.compress):
+        blob = base64.b64encode(pack(noise.encode())).decode()
+        assert secrets.scan(f"a {blob} b")[3] == 0 and secrets.scan(f"a {blob[:4000]} b")[3] == 1
+
+
 def test_secrets_on_edge_rows(spark):
     got = secrets.find_secrets(docs(spark))
     assert got.count() == len(ROWS) and got.filter("spans <> ''").isEmpty()
