@@ -1,9 +1,9 @@
 """Secret scans over every encoding layer of a text.
 
-A worklist starts with the text itself. Each layer is scanned, then unwrapped: URL escapes, Unicode
+A worklist, depth first, starts with the text itself. Each layer is scanned, then unwrapped: URL escapes, Unicode
 escapes and character references each give the whole layer again with those sequences decoded; every stretch
 of readable text that a base64 run holds at any alignment, plainly or in a gzip, zlib or Zstandard stream,
-gives a layer of its own. A run is taken by itself and joined over line ends, also escaped ones. New layers go on the worklist until none is left. A layer of the same content and spans as one
+gives a layer of its own. Streams are read over all their members, in windows. A run is taken by itself and joined over line ends, also escaped ones. New layers go on the worklist until none is left. A layer of the same content and spans as one
 seen before is not entered again, nor one of the content of a layer that it came from, which ends cycles (a stream
 that unpacks to itself, for one); equal content that stands elsewhere is a layer of its own.
 Every layer keeps, for each of its characters, the span of the original text that it came from.
@@ -14,10 +14,10 @@ from __future__ import annotations
 import binascii
 import hashlib
 import html
+import itertools
 import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,11 @@ from .common import text_or_empty
 
 KINDS = ("assign", "access", "hex")
 MIN_VALUE = 6
-#: Unpacked streams are cut here; the row says so in ``cut_layers``. This bounds memory against bombs.
-MAX_UNPACKED = 32 << 20
+#: Unpacked streams are scanned in windows of this many bytes, whatever their length, which bounds memory against bombs.
+WINDOW = 8 << 20
+OVERLAP = 1 << 20
+#: Compressed bytes read at a time, and decompressed at a time.
+CHUNK, STEP = 1 << 16, 256
 #: Length of the shortest base match (12 characters) in base64.
 MIN_BASE64 = 16
 
@@ -46,6 +49,8 @@ _LINE_END = r"(?:\r\n?|\n|\\r\\n|\\[rn])[ \t]*"
 _LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*{_LINE_END}[A-Za-z0-9+/_-]++)+")
 _ENDS = re.compile(rf"[ \t]*{_LINE_END}")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
+#: What a run over line ends is made of.
+_RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n \t\\"
 #: UTF-8 without control characters, as many characters as a base match has at least.
 _READABLE = re.compile(
     rb"(?:[\x09-\x0d\x20-\x7e]|\xc2[\xa0-\xbf]|[\xc3-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
@@ -119,24 +124,81 @@ def _unicode(run: str) -> list[tuple[str, int]] | None:
     return [(char, len(run))]
 
 
-def _unpacked(raw: bytes) -> tuple[bytes, bool, int] | None:
-    """A gzip, zlib or Zstandard stream's content, whether it was cut or has not reached its end, and its length."""
-    out = b""
-    try:
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            d = zstandard.ZstdDecompressor().decompressobj()
-            for at in range(0, len(raw), 256):
-                out += d.decompress(raw[at : at + 256])
-                if d.eof or len(out) > MAX_UNPACKED:
+class _Stream:
+    """The members of a compressed stream, or frames, one after the other, as an iterator of pieces of their content.
+
+    When it is exhausted, ``used`` bytes were read, ``ended`` tells whether the last member was whole, and ``failed``
+    whether it was found to be none.
+    """
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.used, self.ended, self.failed = chunks, 0, True, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        d, rest, at, whole, empty = None, b"", 0, 0, True
+        for chunk in itertools.chain(self.chunks, (None,)):
+            rest, at = rest[at:] + (chunk or b""), 0
+            while at < len(rest):
+                if d is None:
+                    pad = at
+                    while whole and pad < len(rest) and not rest[pad]:  # gzip files may be padded
+                        pad += 1
+                    if len(rest) - pad < 4 and chunk is not None:
+                        break
+                    head = rest[pad : pad + 4]
+                    if (d := _decoder(head, whole > 0)) is None:
+                        return
+                    self.used, at, self.ended, empty = self.used + pad - at, pad, False, True
+                piece = rest[at : at + STEP]
+                try:
+                    out = d.decompress(piece)
+                except (zlib.error, zstandard.ZstdError):
+                    self.failed = True
                     break
-            return out[:MAX_UNPACKED], not d.eof or len(out) > MAX_UNPACKED, min(at + 256, len(raw)) - len(d.unused_data)
-        if raw[:2] == b"\x1f\x8b" or _is_zlib(raw):
-            d = zlib.decompressobj(31 if raw[:1] == b"\x1f" else 15)
-            out = d.decompress(raw, MAX_UNPACKED)
-            return out, not d.eof, len(raw) - len(d.unused_data)
-    except (zlib.error, zstandard.ZstdError):
-        return None
-    return None
+                left = len(d.unused_data) if d.eof else 0
+                at, self.used, empty = at + len(piece) - left, self.used + len(piece) - left, empty and not out
+                if d.eof:
+                    d, self.ended, whole = None, True, self.used
+                if out:
+                    yield out
+            if self.failed:
+                break
+        if whole and not self.ended and empty and _is_zlib(head):  # two bytes that look like a further member
+            self.used, self.ended, self.failed = whole, True, False
+
+
+def _decoder(head: bytes, later: bool):
+    if head[:4] == b"\x28\xb5\x2f\xfd" or later and head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5:  # or a frame to skip
+        return zstandard.ZstdDecompressor().decompressobj()
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    return zlib.decompressobj() if _is_zlib(head) else None
+
+
+def _level(raw: bytes, depth: int) -> _Stream:
+    """What comes out when raw is unpacked ``depth`` times."""
+    stream = _Stream(raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK))
+    for _ in range(depth - 1):
+        stream = _Stream(stream)
+    return stream
+
+
+def _windows(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The content in windows that overlap by ``OVERLAP`` and by the base64 run that the window breaks off, if it is no longer than a window."""
+    held, size, need = [], 0, WINDOW
+    added = False
+    for piece in pieces:
+        held.append(piece)
+        size, added = size + len(piece), True
+        if size >= need:
+            whole = b"".join(held)
+            yield whole
+            run = len(whole) - len(whole.rstrip(_RUN_BYTES))
+            tail = whole[-max(OVERLAP, run if run <= WINDOW else 0) :]
+            held, size, added = [tail], len(tail), False
+            need = size + WINDOW
+    if added:
+        yield b"".join(held)
 
 
 def _is_zlib(raw: bytes) -> bool:
@@ -166,27 +228,44 @@ def _from_base64(body: str, lines: bool) -> Iterator[tuple[str, np.ndarray, np.n
             ends = at + np.cumsum([len(c.encode()) for c in text])
             starts = np.r_[at, ends[:-1]]
             yield text, shift + starts * 8 // 6, shift + np.minimum(-(-ends * 8 // 6), len(part)), "base64", False
+        done = 0
         for m in () if lines else _MAGIC.finditer(raw):
-            yield from _from_stream(raw, m.start(), shift, len(body))
-
-
-def _from_stream(raw: bytes, at: int, shift: int, size: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, str, bool]]:
-    chain, cut, inner = "base64", False, raw[at:]
-    # Two bytes are no proof of a zlib stream inside a run: one that breaks off counts if it holds readable text.
-    sure = not _is_zlib(inner) or at == shift == 0
-    seen: set[bytes] = set()
-    while inner not in seen and (got := _unpacked(inner)) is not None:
-        if not seen:
-            size = min(size, shift - (at + got[2]) * 8 // -6)
-        seen.add(inner)
-        inner, more, _ = got
-        cut, chain = cut or more, chain + ">unpack"
-    first = shift + at * 8 // 6
-    texts = list(_segments(inner)) if seen else []
-    if cut and sure and not texts:
-        yield "", np.empty(0, np.int64), np.empty(0, np.int64), chain, True
-    for i, (_, text) in enumerate(texts):
-        yield text, np.full(len(text), first), np.full(len(text), size), chain, cut and not i
+            if m.start() >= done:
+                done = yield from _from_stream(raw, m.start(), shift, len(body))
+
+
+def _from_stream(raw: bytes, at: int, shift: int, size: int) -> Generator[tuple[str, np.ndarray, np.ndarray, str, bool], None, int]:
+    """Texts of the innermost content of a stream, which all come from the whole of it. Returns where a whole stream ends."""
+    start, raw = at, raw[at:]
+    depths, depth, ended, sure, done = [], 0, True, True, 0
+    seen, head, key = set(), raw[:4], hashlib.blake2b(raw, digest_size=16).digest()
+    while key not in seen and _decoder(head, False) is not None:
+        seen.add(key)
+        stream, digest, first = _level(raw, depth + 1), hashlib.blake2b(digest_size=16), b""
+        for piece in stream:
+            digest.update(piece)
+            first = first if len(first) > 3 else (first + piece)[:4]
+        if not depth:
+            size = min(size, shift - (start + stream.used) * 8 // -6)
+            done = start + stream.used if stream.ended else 0
+            # Two bytes are no proof of a zlib stream inside a run: one that breaks off counts if it holds readable text.
+            sure = not _is_zlib(head) or start == shift == 0 and not stream.failed
+        elif not stream.ended:
+            depths.append(depth)  # perhaps only looks like a stream within the stream
+            if not first:
+                break
+        depth, ended, key, head = depth + 1, ended and stream.ended, digest.digest(), first
+    if not depth:
+        return 0
+    cut, place = not ended, shift + start * 8 // 6
+    for depth in sorted({*depths, depth}):
+        for window in _windows(_level(raw, depth)):
+            for _, text in _segments(window):
+                yield text, np.broadcast_to(place, len(text)), np.broadcast_to(size, len(text)), "base64" + ">unpack" * depth, cut
+                cut = False
+    if cut and sure:
+        yield "", np.empty(0, np.int64), np.empty(0, np.int64), "base64>unpack", True
+    return done
 
 
 def _runs(layer: str) -> Iterator[tuple[np.ndarray, str, bool]]:
@@ -208,40 +287,54 @@ def _runs(layer: str) -> Iterator[tuple[np.ndarray, str, bool]]:
         yield np.arange(m.start(), m.end()), m[0], i < len(covered) and covered[i][0] <= m.start()
 
 
+def _inner(layer: str, starts: np.ndarray | None, ends: np.ndarray | None) -> Iterator[tuple[str, np.ndarray, np.ndarray, str, bool]]:
+    """The layers inside a layer, with their spans and names, and whether a stream was not read to its end."""
+    origins = starts, ends
+    for mark, name, pattern, decode in (("%", "url", _URL, _url), ("\\&", "unicode", _UNICODE, _unicode)):
+        if any(c in layer for c in mark) and pattern.search(layer):
+            if starts is None:
+                starts, ends = np.arange(len(layer)), np.arange(1, len(layer) + 1)
+            if got := _rewritten(layer, starts, ends, pattern, decode):
+                yield *got, name, False
+    starts, ends = origins
+    for at, body, lines in _runs(layer):
+        for inner, s, e, name, cut in _from_base64(body, lines):
+            size = len(inner)
+            if whole := size > 0 and s.strides == (0,):
+                s, e = s[:1], e[:1]
+            s, e = at[s], at[e - 1]
+            s, e = (s, e + 1) if starts is None else (starts[s], ends[e])
+            yield inner, *((np.broadcast_to(s, size), np.broadcast_to(e, size)) if whole else (s, e)), name, cut
+
+
 def scan(text: str) -> tuple[list[Span], list[Span], list[str], int]:
-    """Base spans; those that deeper layers add; the chains of the layers entered; how many were cut."""
+    """Base spans; those that deeper layers add; the chains of the layers entered; how many streams were not read to their end."""
     base = base_spans(text)
     found, added = set(base), []
     seen: set[tuple[bytes, bytes]] = set()
-    work = deque([(text, None, None, "", frozenset([_key(text)]))])
     chains: list[str] = []
     cuts = 0
+    # The layers on the way to the present one: their keys, and which layers they have still to give.
+    path, work = [_key(text)], [("", _inner(text, None, None))]
     while work:
-        layer, starts, ends, chain, path = work.popleft()
-        if chain:
-            for kind, a, b in base_spans(layer):
-                span = (kind, int(starts[a]), int(ends[b - 1]))
-                if span not in found:
-                    found.add(span)
-                    added.append(span)
-        new = []
-        for mark, name, pattern, decode in (("%", "url", _URL, _url), ("\\&", "unicode", _UNICODE, _unicode)):
-            if any(c in layer for c in mark) and pattern.search(layer):
-                if starts is None:
-                    starts, ends = np.arange(len(layer)), np.arange(1, len(layer) + 1)
-                if got := _rewritten(layer, starts, ends, pattern, decode):
-                    new.append((*got, name))
-        for at, body, lines in _runs(layer):
-            for inner, s, e, name, cut in _from_base64(body, lines):
-                cuts += cut
-                s, e = at[s], at[e - 1]
-                new.append((inner, s, e + 1) if starts is None else (inner, starts[s], ends[e]))
-                new[-1] += (name,)
-        for inner, s, e, name in new:
-            if inner and (key := _key(inner)) not in path and (place := (key, _place(s, e))) not in seen:
-                seen.add(place)
-                chains.append(f"{chain}>{name}" if chain else name)
-                work.append((inner, s, e, chains[-1], path | {key}))
+        chain, layers = work[-1]
+        if (got := next(layers, None)) is None:
+            path.pop()
+            work.pop()
+            continue
+        layer, starts, ends, name, cut = got
+        cuts += cut
+        if not layer or (key := _key(layer)) in path or (place := (key, _place(starts, ends))) in seen:
+            continue
+        seen.add(place)
+        chains.append(f"{chain}>{name}" if chain else name)
+        for kind, a, b in base_spans(layer):
+            span = (kind, int(starts[a]), int(ends[b - 1]))
+            if span not in found:
+                found.add(span)
+                added.append(span)
+        path.append(key)
+        work.append((chains[-1], _inner(layer, starts, ends)))
     return base, added, chains, cuts
 
 

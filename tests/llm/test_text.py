@@ -279,6 +279,28 @@ def test_a_stream_without_its_end_is_reported():
         assert secrets.scan(f"a {blob} b")[3] == 0 and secrets.scan(f"a {blob[:4000]} b")[3] == 1
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, zstandard.compress])
+def test_all_of_a_stream_is_scanned(pack):
+    late = b"filler words " * 3_000_000 + SECRET.encode() + b" filler words" * 10
+    for raw in (pack(late), pack(b"x") + pack(SECRET.encode()), pack(b"x") * 30 + pack(SECRET.encode()), pack(pack(b"y") + pack(SECRET.encode()))):
+        blob = base64.b64encode(raw).decode()
+        _, added, _, cut = secrets.scan(f"a {blob} b")
+        assert cut == 0 and any(k == "assign" and a == 2 and 2 + len(blob) - 4 <= b <= 2 + len(blob) for k, a, b in added)
+
+
+@pytest.mark.parametrize("size", [(8 << 20) - 8, 8 << 20, (16 << 20) - (1 << 20) - 5])
+def test_secrets_at_the_edge_of_a_window(size):
+    nested = base64.b64encode(gzip.compress(hashlib.sha256(b"1").digest() * 3 + SECRET.encode())) + b" "
+    for secret in (SECRET.encode(), nested):
+        blob = base64.b64encode(zlib.compress(b" " * size + secret + b" " * 99, 1)).decode()
+        assert [s[0] for s in secrets.scan(f"a {blob} b")[1]] == ["assign"]
+
+
+def test_text_that_starts_like_a_stream():
+    blob = base64.b64encode(gzip.compress(f"x^2 + 1 {SECRET}".encode())).decode()
+    assert [s[0] for s in secrets.scan(f"a {blob} b")[1]] == ["assign"]
+
+
 def test_secrets_on_edge_rows(spark):
     got = secrets.find_secrets(docs(spark))
     assert got.count() == len(ROWS) and got.filter("spans <> ''").isEmpty()
