@@ -19,11 +19,14 @@ FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Госпожа|
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|господин"
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-_PHONE = r"(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d(?:[ .-]?\d){7,14}+(?!\d)|(?<![\w+.-])\d{3}(?:[.-]\d{3}[.-]| \d{3} )\d{4}(?![\d-]|\.\d)"
+_PHONE = r"(?<![\w+])\+1[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)(?:[ .-]?\d){5,12}+(?!\d)|(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d(?:[ .-]?\d){7,14}+(?!\d)|(?<![\w+.-])\d{3}(?:[.-]\d{3}[.-]| \d{3} )\d{4}(?![\d-]|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _CARD = r"(?<![\d.])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|3[47]\d{2}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
-_NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?(?!\p{{L}})"
+#: A word of a name, with inner capitals, apostrophes and hyphens, or initials before another word.
+_WORD = r"(?:(?:\p{Lu}\.-?)++(?= \p{Lu})|\p{Lu}\p{L}*+(?:['’-]\p{Lu}\p{L}*+)*+)"
+_NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? {_WORD}(?: {_WORD})*+"
+_INITIALS = r"^(?:\p{Lu}|(?:\p{Lu}\.-?)+)$"
 PATTERN = "|".join([_MAIL, _IP, _PHONE, _SSN, _IBAN, _CARD.replace(r"\1", r"[ -]").replace("([ -])", "[ -]"), _NAME])
 #: Cheap test that every text with an entity passes.
 HINT = rf"@|\d[\d ().-]{{5}}|[A-Z]{{2}}\d{{2}}|(?:{FEMALE}|{MALE})\.? "
@@ -85,12 +88,15 @@ def entity_type(raw: Column) -> Column:
 
 def _keys(raw: Column, kind: Column) -> Column:
     """Array of (type, canonical form, as spelled): one for each entity; a name has its parts, a given name by gender."""
-    digits = F.regexp_replace(raw, r"\D", "")
+    digits = F.regexp_replace(F.replace(raw, F.lit("(0)"), F.lit("")), r"\D", "")  # (0) is not dialled from abroad
     entry = lambda t, c, s: F.struct(t.alias("type"), c.alias("canon"), s.alias("shown"))
-    words = F.slice(F.split(raw, " "), 2, 2)
+    words = F.slice(F.split(raw, " "), F.lit(2), F.size(F.split(raw, " ")) - 1)
     gender = F.when(raw.rlike(f"^(?:{FEMALE})\\b"), "f").otherwise("m")
     script = F.when(F.element_at(words, 1).rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    names = F.transform(words, lambda w, i: entry(F.concat_ws("-", F.when((i == 0) & (F.size(words) == 2), F.concat(F.lit("given-"), gender)).otherwise("surname"), script), F.lower(w), w))
+    role = lambda w, i: F.when(w.rlike(_INITIALS), "initial").when(i < F.size(words) - 1, F.concat(F.lit("given-"), gender)).otherwise("surname")
+    plain = lambda w: F.lower(F.replace(w, F.lit("’"), F.lit("'")))
+    # Initials are drawn for the name that they are part of: there are too few letters for each to get one of its own.
+    names = F.transform(words, lambda w, i: entry(F.concat_ws("-", role(w, i), script), plain(F.when(w.rlike(_INITIALS), F.array_join(words, " ")).otherwise(w)), w))
     return (
         F.when(kind == "name", names)
         .when(kind == "phone", F.array(entry(kind, F.substring(digits, F.greatest(F.lit(1), F.length(digits) - 9), F.lit(10)), raw)))
@@ -134,19 +140,24 @@ def surrogate(key: str) -> Column:
 
 def _spelled(kind: Column, shown: Column, new: Column) -> Column:
     """The canonical surrogate in the format of what it replaces."""
-    old_digits = F.regexp_replace(shown, r"\D", "")
+    trunk = F.when(kind == "phone", F.replace(shown, F.lit("(0)"), F.lit("(\u2205)"))).otherwise(shown)
+    old_digits = F.regexp_replace(trunk, r"\D", "")
     # Digits before the last ten of a phone number are the country code.
     digits = F.concat(F.substring(old_digits, F.lit(1), F.length(old_digits) - F.length(new)), new)
-    nth = lambda i: F.length(F.regexp_replace(F.substring(shown, F.lit(1), i + 1), r"\D", ""))
-    filled = F.array_join(F.transform(_chars(shown), lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(digits, nth(i), F.lit(1))).otherwise(c)), "")
+    nth = lambda i: F.length(F.regexp_replace(F.substring(trunk, F.lit(1), i + 1), r"\D", ""))
+    filled = F.array_join(F.transform(_chars(trunk), lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(digits, nth(i), F.lit(1))).when((kind == "phone") & (c == "\u2205"), "0").otherwise(c)), "")
     cased = F.array_join(F.transform(_chars(shown), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), "")
     packed = lambda i: F.length(F.replace(F.substring(shown, F.lit(1), i + 1), F.lit(" "), F.lit("")))
     spaced = F.array_join(F.transform(_chars(shown), lambda c, i: F.when(c == " ", c).otherwise(F.substring(new, packed(i), F.lit(1)))), "")
+    letter = lambda i: F.substring(new, i % 6 + 1, F.lit(1))
+    initials = F.array_join(F.transform(_chars(shown), lambda c, i: F.when(c.rlike(r"^\p{L}$"), F.upper(F.when(letter(i) == F.lower(c), letter(i + 1)).otherwise(letter(i)))).otherwise(c)), "")
     return (
         F.when(kind.isin("phone", "card", "ssn"), filled)
         .when(kind == "mail", cased)
         .when(kind == "iban", spaced)
         .when(kind == "ip", new)
+        .when(kind.startswith("initial"), initials)
+        .when(shown == F.upper(shown), F.upper(new))
         .otherwise(F.initcap(new))
     )
 

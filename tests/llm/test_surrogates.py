@@ -107,3 +107,21 @@ def test_no_planted_entity_is_left(spark):
             for raw, s in zip(pattern.findall(text), [new] if isinstance(new, str) else new):
                 assert maps.setdefault(raw, s) == s
     assert n > 50 and len(set(maps.values())) == len(maps)
+
+
+def test_names_and_international_phones_of_more_formats(spark):
+    texts = [
+        "saw Mr McDonald.", "saw Mrs O'Brien.", "saw Mr. J. Smith.", "saw Mrs Anna Maria Schmidt.", "saw Mrs Anne-Marie Smith.", "saw Mr J.R. O’Brien.", "saw Mr SMITH.",
+        "call +7 (495) 123-45-67 now", "call +44 (20) 7946 0958 now", "call +49 (0)30 1234567 now", "call +49 30 1234567 now",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in S.replace_pii(df, "k").collect()}
+    assert all(n == 1 for _, n in got.values())
+    t = [got[i][0] for i in range(len(texts))]
+    gone = "McDonald Brien Smith Schmidt Anna Maria Anne Marie SMITH".split()
+    assert not any(re.search(rf"\b{w}\b", s) for w in gone for s in t)
+    words = [re.fullmatch(p, s) for p, s in zip((r"saw Mr (\w+)\.", r"saw Mrs (\w+)\.", r"saw Mr\. ([A-Z])\. (\w+)\.", r"saw Mrs (\w+na) (\w+na) (\w+)\.", r"saw Mrs (\w+na) (\w+)\.", r"saw Mr ([A-Z]\.[A-Z])\. (\w+)\.", r"saw Mr ([A-Z]+)\."), t)]
+    assert all(words) and words[2][1] != "J" and words[5][1][0] != "J" and words[5][1][2] != "R"
+    assert words[1][1] == words[5][2] and words[2][2] == words[4][2] == words[6][1].capitalize()
+    phones = [re.fullmatch(p, s) for p, s in zip((r"call \+\d \(\d{3}\) \d{3}-\d\d-\d\d now", r"call \+\d\d \(\d\d\) \d{4} \d{4} now", r"call \+(\d\d) \(0\)(\d\d \d{7}) now", r"call \+(\d\d) (\d\d \d{7}) now"), t[7:])]
+    assert all(phones) and phones[2].groups() == phones[3].groups() and not set(t) & set(texts)
