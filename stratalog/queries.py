@@ -176,9 +176,15 @@ def runs_for_key(spark, sf_dir):
 @_query("bloom_probe", "SELECT DISTINCT key, TRUE AS maybe FROM cl WHERE NOT is_tombstone")
 def bloom_probe(spark, sf_dir):
     """Every inserted key passes the filter built over the inserted keys; how many others do is a matter of its rate."""
-    puts = changelog(spark, sf_dir).filter("NOT is_tombstone").select("key")
-    bits, hashes = bloom.sized(StoreConfig().bloom_keys, StoreConfig().bloom_rate)
-    return bloom.probe(puts, "key", bloom.build(puts, "key", bits, hashes), bits, hashes)
+    puts, *built = inserted_keys_filter(spark, sf_dir)
+    return bloom.probe(puts, "key", *built)
+
+
+def inserted_keys_filter(spark, sf_dir):
+    """The inserted keys, and the set bits, number of bits and of hashes of a filter as large as their number takes."""
+    puts = changelog(spark, sf_dir).filter("NOT is_tombstone").select("key").distinct()
+    bits, hashes = bloom.sized(max(StoreConfig().bloom_keys, puts.count()), StoreConfig().bloom_rate)
+    return puts, bloom.build(puts, "key", bits, hashes), bits, hashes
 
 
 # Writes

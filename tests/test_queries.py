@@ -61,3 +61,16 @@ def test_rotation_follows_a_loop_over_the_log(spark):
             want.append((r["seq"], r["level"], order[taken][1], cursor[r["level"]]))
     got = [(r["seq"], r["level"], r["id"], r["compact_key"]) for r in QUERIES["rotation_replay"](spark, SF).collect()]
     assert sorted(got) == want and len(want) > 50
+
+
+def test_filter_of_inserted_keys_excludes_others(spark, monkeypatch):
+    from stratalog import queries
+    from stratalog.config import StoreConfig
+    from stratalog.functions import bloom
+
+    log = spark.range(60_000).selectExpr("concat('k', id) AS key", "id % 3 = 0 AS is_tombstone")
+    monkeypatch.setattr(queries, "changelog", lambda spark, sf_dir: log)
+    puts, *built = queries.inserted_keys_filter(spark, SF)
+    got = bloom.probe(log, "key", *built).join(log, "key").groupBy("is_tombstone").agg({"maybe": "count_if"}).collect()
+    passed = dict(map(tuple, got))
+    assert puts.count() == passed[False] == 40_000 and passed[True] < 2 * StoreConfig().bloom_rate * 20_000
