@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import fresh, text_or_empty, written
 from .components import connected_components
 
 RADIUS = 2
@@ -193,7 +193,11 @@ def simhash_classes(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, til
 
 
 def keep_one_per_class(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id names their component; rows without an id stay."""
-    kept = simhash_classes(docs.filter("doc_id IS NOT NULL"), radius).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs``, all columns, per class: that of the smallest id, and of the smallest digest among texts that share it; rows without an id stay."""
+    of, digest = fresh(docs, "_of", "_digest")
+    named = docs.filter("doc_id IS NOT NULL").withColumn(digest, F.sha2(text_or_empty(), 256))
+    classes = simhash_classes(named.select(F.struct("doc_id", digest).alias("doc_id"), "text"), radius)
+    kept = classes.filter("doc_id = component_id").select(F.col("doc_id.doc_id").alias(of), F.col(f"doc_id.{digest}").alias(digest)).distinct()
+    match = (named["doc_id"] == kept[of]) & (named[digest] == kept[digest])
+    rows = named.join(kept, match, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)
     return rows.unionByName(docs.filter("doc_id IS NULL"))

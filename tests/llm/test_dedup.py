@@ -130,3 +130,10 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 500), (600, 601), (601, 600), (None, 3)], "a long, b long")
     got = {r["v"]: r["root"] for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {600: 600, 601: 600}
+
+
+def test_texts_that_share_an_id_keep_a_row_for_each_class(spark):
+    texts = ["the quick brown fox jumps over the lazy dog near the river bank today", "numbers and letters stand in columns of a printed table on page nine"]
+    rows = [(1, texts[0], "en", "a", 1), (1, texts[1], "en", "a", 1), (2, texts[1], "en", "a", 1), (2, texts[0], "en", "a", 1), (1, texts[1], "en", "a", 1)]
+    got = simhash.keep_one_per_class(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((1, t) for t in texts)
