@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
 from stratalog.llm import surrogates as S
@@ -125,3 +126,114 @@ def test_names_and_international_phones_of_more_formats(spark):
     assert words[1][1] == words[5][2] and words[2][2] == words[4][2] == words[6][1].capitalize()
     phones = [re.fullmatch(p, s) for p, s in zip((r"call \+\d \(\d{3}\) \d{3}-\d\d-\d\d now", r"call \+\d\d \(\d\d\) \d{4} \d{4} now", r"call \+(\d\d) \(0\)(\d\d \d{7}) now", r"call \+(\d\d) (\d\d \d{7}) now"), t[7:])]
     assert all(phones) and phones[2].groups() == phones[3].groups() and not set(t) & set(texts)
+
+
+def test_rounds_end_on_entities_of_few_characters(spark):
+    odd = ["art -@-.- end", "_@a.org", "_@b.org", "%@a.org +@b.org", "1@2.3", "@a.b x@y", "a@" + "b." * 50 + "c"] + [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"{i}@y.org" for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in S.replace_pii(df, "k").collect()}
+    assert got[0] == (odd[0], 0) and got[5] == (odd[5], 0)
+    mails = [m for i in got if got[i][1] for m in got[i][0].split()]
+    assert len(mails) == len(set(mails)) == 42 and not set(mails) & set(" ".join(odd).split())
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.org", m) for m in (got[i][0] for i in range(7, 33)))
+
+
+def test_supply_of_every_type_has_no_end(spark):
+    kinds = ["mail", "ip", "card", "iban", "phone", "ssn", "given-f-latin", "surname-cyrillic"]
+    canon = {"mail": "abcdef@x.org", "ip": "1.2.3.4", "card": "4337166598464399", "iban": "DE44500105175407324931", "phone": "4565552186", "ssn": "123456789"}
+    rows = [(k, canon.get(k, "anna"), a) for k in kinds for a in range(S.GROW, S.GROW + 12)]
+    got = spark.createDataFrame(rows, "type string, canon string, attempt int").withColumn("new", S.surrogate("k")).collect()
+    size = {(r["type"], r["attempt"]): len(r["new"]) for r in got}
+    for k in kinds:
+        assert size[k, S.GROW + 11] - size[k, S.GROW] >= 9 and len({r["new"] for r in got if r["type"] == k}) == 12
+
+
+def test_country_codes_and_trunk_zeros_stay(spark):
+    texts = ["+49 30 1234567", "+33 1 23 45 67 89", "+7 495 123-45-67", "+380 44 123 4567", "+49 (0)30 1234567", "(030) 1234567", "1 (456) 555-2186", "+1 456 555 2186"]
+    df = spark.createDataFrame(list(enumerate(f"call {t} now" for t in texts)), "doc_id long, text string")
+    got = [r["text"][5:-4] for r in S.replace_pii(df, "k").orderBy("doc_id").collect()]
+    fixed = [r"\+49 \d\d \d{7}", r"\+33 \d \d\d \d\d \d\d \d\d", r"\+7 \d{3} \d{3}-\d\d-\d\d", r"\+380 \d\d \d{3} \d{4}", r"\+49 \(0\)\d\d \d{7}", r"\(0\d\d\) \d{7}", r"1 \(\d{3}\) \d{3}-\d{4}", r"\+1 \d{3} \d{3} \d{4}"]
+    assert all(re.fullmatch(p, g) and g != t for p, g, t in zip(fixed, got, texts))
+    digits = [re.sub(r"\D", "", g) for g in got]
+    assert digits[0][2:] == digits[4][3:] == digits[5][1:] and digits[6] == digits[7]
+
+
+def test_marks_in_texts_come_back(spark):
+    texts = ["\x01 a@b.org \x01\x02 \x01\x03\x04", "\x01\x03a@b.org\x01\x04c@d.org", "\x01\x02 \x03 nothing @ all"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in S.replace_pii(df, "k").collect()}
+    for i, t in enumerate(texts):
+        assert re.sub(r"\w+@\w+\.org", "M", got[i]) == re.sub(r"\w+@\w+\.org", "M", t)
+
+
+def test_forms_of_address_pass_the_cheap_test(spark):
+    words = f"{S.FEMALE}|{S.MALE}".split("|")
+    df = spark.createDataFrame([(f"{w}{dot} {n}",) for w in words for dot in ("", ".") for n in ("Ab", "Яв")], "text string")
+    assert df.filter(~S.may_have(F.col("text"))).isEmpty()
+
+
+NATIONAL = regex.compile(rf"(?:\+(?:{S.COUNTRY})|\d{{1,3}}(?=\())?(?:0{{1,2}}(?=(?:\D*\d){{5}}))?")
+
+
+def brute_canon(raw):
+    """(type, canonical form) of each entity in a match, by other means than the operator's."""
+    if "@" in raw:
+        return [("mail", raw.lower())]
+    if raw[0].isalpha() and not raw[1].isdigit() and not regex.fullmatch(r"[A-Z]{2}\d{2}.*", raw):
+        first, *words = raw.split(" ")
+        sex = "f" if first.rstrip(".") in S.FEMALE.split("|") else "m"
+        script = "cyrillic" if regex.match(r"\p{Cyrillic}", words[0]) else "latin"
+        return [(f"given-{sex}-{script}" if i < len(words) - 1 else f"surname-{script}", w.lower().replace("’", "'")) for i, w in enumerate(words) if not regex.fullmatch(r"\p{Lu}|(?:\p{Lu}\.-?)+", w)]
+    if regex.fullmatch(r"\d+\.\d+\.\d+\.\d+", raw):
+        return [("ip", raw)]
+    if regex.match("[A-Z]", raw):
+        return [("iban", raw.replace(" ", ""))]
+    if regex.fullmatch(r"\d{3}-\d{2}-\d{4}", raw):
+        return [("ssn", raw.replace("-", ""))]
+    if regex.fullmatch(r"\d{13,19}|\d{4}([ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}", raw):
+        return [("card", regex.sub(r"\D", "", raw))]
+    bare = regex.sub(r"[ .-]", "", raw)
+    return [("phone", regex.sub(r"\D", "", bare[NATIONAL.match(bare).end() :] if bare[0] in "+(0123456789" else bare))]
+
+
+def test_whole_query_against_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = [(-1 - i, t) for i, (_, t) in enumerate(TEXTS)] + [(-20, None), (-21, "")]
+    d = d.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    pattern = regex.compile(S.PATTERN.replace(r"[\d", "[0-9").replace(r"[^\d", "[^0-9").replace(r"\d", "[0-9]").replace(r"[\w", "[A-Za-z0-9_"))
+    got = {r["doc_id"]: r for r in S.replace_pii(d, "k").collect()}
+    new_of, seen, real = {}, defaultdict(set), set()
+    n = 0
+    for r in d.collect():
+        text, out = r["text"], got[r["doc_id"]]
+        ms = list(pattern.finditer(text or ""))
+        assert out["n_entities"] == len(ms)
+        if not ms:
+            assert out["text"] == text
+            continue
+        ends = [0, *(x for m in ms for x in m.span()), len(text)]
+        between = [text[a:b] for a, b in zip(ends[::2], ends[1::2])]
+        whole = regex.fullmatch("(.+?)".join(map(regex.escape, between)), out["text"], regex.S)
+        for m, new in zip(ms, whole.groups()):
+            n += 1
+            keys = brute_canon(m[0])
+            shown = [w for w in new.split(" ")[1:] if not regex.fullmatch(r"\p{Lu}|(?:\p{Lu}\.-?)+", w)] if keys and keys[0][0][:2] in ("gi", "su") else [new]
+            for (kind, canon), s in zip(keys, shown, strict=True):
+                ((_, now),) = [(kind, s.lower())] if kind[:2] in ("gi", "su") else brute_canon(s)
+                assert new_of.setdefault((kind, canon), now) == now, (m[0], new)
+                seen[kind, now].add(canon)
+                real.add((kind, canon))
+    assert n > 100 and all(len(v) == 1 for v in seen.values()) and not set(seen) & real
+    assert len(got) == d.count()
+
+
+def test_intermediate_tables_go(spark):
+    from stratalog.llm import common
+
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    before = len(common._PATHS)
+    out = S.replace_pii(df, "k")
+    assert len(common._PATHS) == before + 2  # the rows and the replacements, which the result reads
+    assert out.count() == len(TEXTS)
+    common.remove_tables(spark, before)
+    assert len(common._PATHS) == before
