@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
@@ -34,8 +35,10 @@ from .common import new_path, text_or_empty, written
 MAGIC = b"BITPLAN1"
 BLOCK = 65_536
 PLANE_BITS = 8
-#: Pre-tokens that the memo holds before it is emptied (some 200 MB).
-MEMO = 900_000
+#: Pre-tokens that the memo holds before it is emptied (some 100 MB).
+MEMO = 500_000
+#: Bytes of text that are encoded together.
+SLICE = 8 << 20
 
 
 def to_planes(ids: np.ndarray, plane_bits: int = PLANE_BITS, level: int = 3) -> list[bytes]:
@@ -145,76 +148,103 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}{_S}]+")
 _UNSAFE = re.compile("[" + "".join(map(re.escape, sorted(_ODD))) + f"]|[^\x00-{chr(_LAST)}]")
 
 
+#: What the tokenizer file has to say for the fast path to hold.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_SUFFIX = "</w>"
+
+
 class Encoder:
     """The tokenizers library's ids for its word-end BPE vocabulary, with a memo of pre-tokens.
 
-    The normaliser lower-cases and the splitter cuts a text into pre-tokens that are encoded on their own. For
-    texts of Latin characters both are repeated here and each distinct pre-token goes to the library once,
-    many in one call: an id that ends a word ends a pre-token. White space separates pre-tokens always, so that of
-    other texts only the white-space separated parts with other characters go to the library as they are. Texts that
-    hold a special token's text go there whole.
+    White space separates pre-tokens always. So the texts of a batch are split at it and the parts numbered in Arrow, each distinct
+    part is looked at once, and the ids of all texts are gathered from those of the parts. The normaliser lower-cases, and the
+    splitter cuts a part into pre-tokens that are encoded on their own: for parts of Latin characters both are repeated here, and
+    each distinct pre-token goes to the library once, many in one call (an id that ends a word ends a pre-token). Parts with other
+    characters go to the library as they are. Texts that hold a special token's text go there whole. A file with another normaliser,
+    splitter or model is refused.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        model = spec["model"]
+        if spec["normalizer"] != _NORMALIZER or len(steps) != 2 or steps[0] != _SPLIT or steps[1]["type"] != "ByteLevel" or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+            raise ValueError("only the normaliser and splitter of word-end BPE files are supported")
+        if model["type"] != "BPE" or model["end_of_word_suffix"] != _SUFFIX or model["dropout"] or model["unk_token"] or model["ignore_merges"]:
+            raise ValueError("only word-end BPE models are supported")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.ends[[i for t, i in vocab.items() if t.endswith(_SUFFIX)]] = True
+        #: The same model for pre-tokens: they are normalised and split already.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Adds pre-tokens to the memo."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(words) and len(ids) == cuts[-1]:
-            self.memo.update(zip(words, (p.tobytes() for p in np.split(ids, cuts[:-1]))))
+        """Adds pre-tokens of Latin characters to the memo."""
+        raw = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        cuts = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
+        if len(cuts) == len(words) and len(raw) == 4 * cuts[-1]:
+            at = 0
+            for w, end in zip(words, (cuts * 4).tolist()):
+                self.memo[w] = raw[at:end]
+                at = end
         else:
-            self.memo.update((w, self.whole(w)) for w in words)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        split: list[list[str] | bytes | list] = []
-        for t in texts:
-            if any(s in t for s in self.special):
-                split.append(self.whole(t))
-            elif not _UNSAFE.search(t):
-                split.append(_WORDS.findall(t.lower()))
-            else:
-                parts = [p.decode() for p in t.encode().split()]
-                split.append([self.whole(p) if _UNSAFE.search(p) else _WORDS.findall(p.lower()) for p in parts])
+            self.memo.update(zip(words, self.whole(words)))
+
+    def coded(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part between white space."""
         memo = self.memo
-        new: set[str] = set()
-        for s in split:
-            for words in _word_lists(s):
-                new.update(w for w in words if w not in memo)
-        todo = list(new)
-        for i in range(0, len(todo), 5_000):
-            self.learn(todo[i : i + 5_000])
+        if len(memo) > MEMO:
+            memo.clear()
+        words: list[list[str]] = [_WORDS.findall(p.lower()) for p in parts]
+        out: dict[int, bytes] = {}
+        if _UNSAFE.search(" ".join(parts)):
+            odd = [i for i, p in enumerate(parts) if _UNSAFE.search(p)]
+            for i, ids in zip(odd, self.whole([parts[i] for i in odd])):
+                out[i], words[i] = ids, []
+        new = list({w for ws in words for w in ws if w not in memo})
+        for i in range(0, len(new), 20_000):
+            self.learn(new[i : i + 20_000])
         get = memo.__getitem__
-
-        def joined(s) -> bytes:
-            if isinstance(s, bytes):
-                return s
-            if s and isinstance(s[0], str):
-                return b"".join(map(get, s))
-            return b"".join(p if isinstance(p, bytes) else b"".join(map(get, p)) for p in s)
-
-        return [np.frombuffer(joined(s), "<u4") for s in split]
-
-
-def _word_lists(s) -> list[list[str]]:
-    """Of a text: its pre-tokens, or its parts' pre-tokens, or none if it is encoded already."""
-    if isinstance(s, bytes) or not s:
-        return []
-    return [s] if isinstance(s[0], str) else [p for p in s if isinstance(p, list)]
+        coded = [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in words]
+        for i, ids in out.items():
+            coded[i] = ids
+        return coded
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has. There are no nulls."""
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
+        split = pc.ascii_split_whitespace(plain)
+        numbered = split.flatten().dictionary_encode()
+        coded = self.coded(numbered.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(coded), "<u4")
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        which = numbered.indices.to_numpy()
+        taken = sizes[which]
+        ends = np.cumsum(taken)
+        # Place in the pool of each id: its part's start there, and how far it is into the part.
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - taken), taken) + np.arange(taken.sum())]
+        bounds = np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        counts = np.diff(bounds)
+        if special.any():
+            rows = np.split(ids, bounds[1:-1])
+            for i in np.flatnonzero(special):
+                rows[i] = np.frombuffer(self.whole([texts[i].as_py()])[0], "<u4")
+            ids, counts = np.concatenate(rows), np.array([len(r) for r in rows])
+        return ids, counts
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -226,6 +256,16 @@ def loaded(path: str) -> Encoder:
     return _LOADED[path]
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of some SLICE bytes, or of one longer text."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        end = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + SLICE, "right")))
+        yield texts.slice(i, end - i)
+        i = end
+
+
 def _split_fs(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
 
@@ -241,7 +281,6 @@ def write_ids(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, bl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, path = loaded(tokenizer_file), None, ""
-        end = np.array([end_id], "<u4")
         for b in batches:
             if not b.num_rows:
                 continue
@@ -251,12 +290,12 @@ def write_ids(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, bl
                 fs.create_dir(where.rpartition("/")[0], recursive=True)
                 writer = Writer(fs.open_output_stream(where), block, plane_bits)
             at, n = [], []
-            for i in range(0, b.num_rows, 500):
-                for ids in encoder.encode(b.column(1).slice(i, 500).to_pylist()):
-                    at.append(writer.n)
-                    n.append(len(ids) + 1)
-                    writer.add(ids)
-                    writer.add(end)
+            for texts in _slices(b.column(1)):
+                ids, counts = encoder.encode(texts)
+                ends = np.cumsum(counts)
+                at += (writer.n + ends - counts + np.arange(len(counts))).tolist()
+                n += (counts + 1).tolist()
+                writer.add(np.insert(ids, ends, end_id).astype("<u4"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([path] * len(at)), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "path", "at", "n_tokens"])
         if writer is not None:
             writer.close()

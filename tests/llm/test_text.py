@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import zstandard
@@ -150,7 +151,31 @@ def test_word_encoder_equals_the_library(text):
     text = text.encode("utf-8", "ignore").decode()
     encoder = planes.loaded(WORDS)
     for t in (text, text + "<|endoftext|> It's"):
-        assert encoder.encode([t])[0].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert encoder.encode(pa.array([t]))[0].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_words_of_other_scripts_and_many_texts_at_once():
+    encoder = planes.Encoder(WORDS)
+    texts = ["Привет, МИР! Привет", "a日本語 b", "", "Ünïcode ΣΑΣ ς", "x\x1fy z", "It's <|endoftext|> é", "e\u0301 \u0301a", "a\u2003b\xa0c"] * 2
+    for part in (slice(0, 16), slice(5, 9), slice(15, 16), slice(3, 3)):
+        ids, counts = encoder.encode(pa.array(texts, pa.string())[part])
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts[part], add_special_tokens=False)]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+    assert [len(s) for s in planes._slices(pa.array(["x" * n for n in (planes.SLICE, 5, 0, planes.SLICE - 5, 1, 2 * planes.SLICE, 3)]))] == [1, 3, 1, 1, 1]
+
+
+@pytest.mark.parametrize("change", [("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("suffix", "")])
+def test_other_tokenizers_are_refused(tmp_path, change):
+    import json
+
+    spec = json.load(open(WORDS))
+    if change[0] == "suffix":
+        spec["model"] |= {"end_of_word_suffix": None, "vocab": {"a": 0}, "merges": []}
+    else:
+        spec[change[0]] = change[1]
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        planes.Encoder(str(tmp_path / "t.json"))
 
 
 @pytest.mark.parametrize("bits", [1, 8])
