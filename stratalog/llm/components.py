@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,22 +18,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges are harmless; edges with a null end are ignored; no edges give no rows.
     """
+    spark = edges.sparkSession
     pairs = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = written(
-        pairs.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("w"))).distinct(),
-        "cc-edges",
-    )
-    parent = written(both.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("p")), "cc-parents")
-    while True:
-        up = parent.select(F.col("v").alias("p"), F.col("p").alias("g"))
-        jumped = parent.join(up, "p").select("v", "p", "g")
-        near = both.join(jumped.select(F.col("v").alias("w"), "g"), "w").groupBy("u").agg(F.min("g").alias("m"))
-        state = written(jumped.join(near.withColumnRenamed("u", "v"), "v").select("v", "p", "g", "m"), "cc-state")
-        hooked = state.groupBy("p").agg(F.min("m").alias("h")).select(F.col("p").alias("v"), "h")
-        new = written(
-            state.join(hooked, "v", "left").select("v", F.col("p").alias("old"), F.least("g", "m", F.coalesce("h", "g")).alias("p")),
-            "cc-parents",
+    with scratch(spark) as kept:
+        both = written(
+            pairs.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("w"))).distinct(),
+            "cc-edges",
         )
-        if new.filter("old <> p").isEmpty():
-            return new.select("v", F.col("p").alias("root"))
-        parent = new.select("v", "p")
+        parent = written(both.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("p")), "cc-parents")
+        done = False
+        while not done:
+            with scratch(spark) as next_round:
+                up = parent.select(F.col("v").alias("p"), F.col("p").alias("g"))
+                jumped = parent.join(up, "p").select("v", "p", "g")
+                near = both.join(jumped.select(F.col("v").alias("w"), "g"), "w").groupBy("u").agg(F.min("g").alias("m"))
+                state = written(jumped.join(near.withColumnRenamed("u", "v"), "v").select("v", "p", "g", "m"), "cc-state")
+                hooked = state.groupBy("p").agg(F.min("m").alias("h")).select(F.col("p").alias("v"), "h")
+                new = written(
+                    state.join(hooked, "v", "left").select("v", F.col("p").alias("old"), F.least("g", "m", F.coalesce("h", "g")).alias("p")),
+                    "cc-parents",
+                )
+                done = new.filter("old <> p").isEmpty()
+                next_round.append(new)
+            parent = new.select("v", "p")
+        kept.append(new)
+    return new.select("v", F.col("p").alias("root"))

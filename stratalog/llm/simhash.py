@@ -1,12 +1,13 @@
 """SimHash near-duplicates: 64-bit fingerprints and an exact tiled search within a Hamming radius.
 
-Equal fingerprints collapse first. Distinct fingerprints are cut into ``radius + 2`` blocks of bits;
-two that differ in at most ``radius`` bits agree on two blocks at least, so that comparing inside
-the groups of equal block pairs loses nothing. A group is compared as tiles ordered by population
-count: exclusive-or and bit counts in numpy, skipping tile pairs whose counts differ beyond the
-radius. Groups above TILE rows are dealt as tile pairs to tasks of their own, so neither a popular block
-pair nor a large family of near copies has to fit one task. Links are thinned to a spanning forest per tile
-pair before they leave the task; components are computed from them in Spark.
+Equal fingerprints collapse first. What compares two of them, always, is the tiled comparison: fingerprints in order of
+population count, cut into tiles, exclusive-or and bit counts of whole tile pairs in numpy, skipping tile pairs
+whose counts differ beyond the radius. Comparing everything with everything would grow with the square of the corpus, so what
+is compared together is dealt first: distinct fingerprints are cut into ``radius + 2`` blocks of bits, two that differ in at
+most ``radius`` bits agree on two blocks at least, and every pair of blocks is hashed into one of as many buckets as keep a
+bucket at TILE / 4 rows on average, whatever the size of the corpus. Each bucket is compared in tiles. One above TILE
+rows (a popular block pair, a large family of near copies) is dealt as tile pairs to tasks of their own. Links are
+thinned to a spanning forest per bucket before they leave the task; components are computed from them in Spark.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_or_empty, written
+from .common import attach, fresh, scratch, text_or_empty, written
 from .components import connected_components
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
-TILE = 4096
+#: Rows that one task compares together at most, and rows of a tile within.
+TILE, ROWS = 4096, 128
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PART = 1 << 16
 
@@ -71,68 +73,53 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return keep
 
 
-def tile_links(fp: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints (unsigned): exact comparison in tiles."""
+def tile_links(fp: np.ndarray, radius: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """A spanning forest of the links among distinct fingerprints (unsigned), and how many tile pairs were compared and skipped."""
     pop = np.bitwise_count(fp)
     order = np.argsort(pop, kind="stable")
     fp, pop = fp[order], pop[order].astype(np.int64)
-    left, right = [], []
-    for i in range(0, len(fp), block):
-        top = fp[i : i + block]
-        end = np.searchsorted(pop, pop[min(i + block, len(fp)) - 1] + radius, "right")
-        for j in range(i, end, 2048):
-            if pop[j] - pop[min(i + block, len(fp)) - 1] > radius:
-                break
-            side = fp[j : min(j + 2048, end)]
-            x, y = np.nonzero(np.bitwise_count(top[:, None] ^ side[None, :]) <= radius)
-            if len(x := x[later := (x + i) < (y + j)]):
-                left.append(top[x])
-                right.append(side[y[later]])
-    if not left:
-        return fp[:0], fp[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
+    first, last = pop[::rows], pop[np.minimum(np.arange(rows, len(fp) + rows, rows), len(fp)) - 1]
+    left, right, compared = [], [], 0
+    for i in range(len(first)):
+        # Tiles ascend in population count: those from i on up to ``end`` are near enough.
+        end = int(np.searchsorted(first, last[i] + radius, "right"))
+        compared += end - i
+        tile, others = fp[i * rows : (i + 1) * rows], fp[i * rows : end * rows]
+        x, y = np.nonzero(np.bitwise_count(tile[:, None] ^ others[None, :]) <= radius)
+        later = x < y
+        left.append(tile[x[later]])
+        right.append(others[y[later]])
+    a, b = (np.concatenate(left), np.concatenate(right)) if left else (fp, fp)
     keep = _forest(a, b)
-    return a[keep], b[keep]
-
-
-def _links_of_sorted(groups: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal groups. Short runs together by shifts, long ones in tiles."""
-    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    sizes = np.diff(np.r_[starts, len(fp)])
-    out_a, out_b = [], []
-    small = np.repeat(sizes <= 16, sizes)
-    for lag in range(1, min(16, int(sizes.max(initial=1)))):
-        near = (groups[lag:] == groups[:-lag]) & small[lag:]
-        near[near] = np.bitwise_count(fp[lag:][near] ^ fp[:-lag][near]) <= radius
-        out_a.append(fp[:-lag][near])
-        out_b.append(fp[lag:][near])
-    for s, n in zip(starts[sizes > 16], sizes[sizes > 16]):
-        a, b = tile_links(np.unique(fp[s : s + n]), radius)
-        out_a.append(a)
-        out_b.append(b)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (fp[:0], fp[:0])
-
-
-def _compare(radius: int):
-    """For mapInArrow over (g, fp) sorted by g: links of each run of g, carrying an unfinished run over."""
+    return a[keep], b[keep], compared, len(first) * (len(first) + 1) // 2 - compared
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_g, rest_f = np.empty(0, np.int64), np.empty(0, np.uint64)
 
-        def emit(g: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = _links_of_sorted(g, f, radius)
-            a, b = a.view(np.int64), b.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _compare(radius: int, tiles=None):
+    """For mapInArrow over (g, fp) sorted by g: links of each run of g, carrying an unfinished run over.
+
+    tiles: two accumulators for the numbers of tile pairs compared and skipped.
+    """
 
+    def links_of(groups: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        starts = np.r_[np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]), len(fp)]
+        out = [tile_links(np.unique(fp[s:e]), radius) for s, e in zip(starts, starts[1:])]
+        if tiles:
+            tiles[0].add(sum(o[2] for o in out))
+            tiles[1].add(sum(o[3] for o in out))
+        a, b = (np.concatenate([o[k] for o in out]).view(np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest_g, rest_f = np.empty(0, np.int64), np.empty(0, np.uint64)
         for batch in batches:
             g = np.r_[rest_g, batch.column(0).to_numpy(zero_copy_only=False)]
             f = np.r_[rest_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
             cut = np.searchsorted(g, g[-1], "left") if len(g) else 0  # g ascends
             if cut:
-                yield emit(g[:cut], f[:cut])
+                yield links_of(g[:cut], f[:cut])
             rest_g, rest_f = g[cut:], f[cut:]
         if len(rest_g):
-            yield emit(rest_g, rest_f)
+            yield links_of(rest_g, rest_f)
 
     return run
 
@@ -148,13 +135,15 @@ def _block_keys(fp: Column, radius: int) -> Column:
     ])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, tiles=None) -> DataFrame:
     """distinct(fp) -> edges (a, b) of signed fingerprints whose components are those of all links.
 
-    A group is named by a 64-bit hash of its block pair: two groups that happen to share a name are compared
-    together, which costs time and loses nothing.
+    Which block pairs share a bucket is up to a hash: what is compared together without need costs time, and loses nothing.
+    ``tiles`` may give two accumulators, for the tile pairs compared and skipped.
     """
-    rows = distinct.select("fp", F.explode(_block_keys(F.col("fp"), radius)).alias("k")).select(F.col("k.g").alias("g"), "fp")
+    pairs = (radius + 2) * (radius + 1) // 2
+    buckets = max(1, -(-distinct.count() * pairs * 4 // tile))
+    rows = distinct.select("fp", F.explode(_block_keys(F.col("fp"), radius)).alias("k")).select(F.pmod(F.col("k.g"), F.lit(buckets)).alias("g"), "fp")
     pops = rows.groupBy("g", F.bit_count("fp").alias("pop")).agg(F.count(F.lit(1)).alias("n"))
     big = written(
         pops.groupBy("g").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("pop", "n"))).alias("pops")).filter(F.col("total") > tile),
@@ -162,9 +151,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     )
     schema = "a bigint, b bigint"
     if big.isEmpty():
-        return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(radius), schema)
+        return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(radius, tiles), schema)
     light = rows.join(big, "g", "left_anti").select("g", "fp")
-    out = light.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(radius), schema)
+    out = light.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(radius, tiles), schema)
     # Tiles of a large group: population count p, and a hash into ceil(n / tile) parts.
     parts = lambda p: F.ceil(F.element_at("pops", p) / F.lit(tile)).cast("int")
     pop = F.bit_count("fp")
@@ -173,7 +162,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), parts(p) - 1), lambda s: F.struct(p.alias("p"), s.alias("s")))))
     tiled = rows.join(big, "g").withColumn("own", F.struct(pop.alias("p"), mine.alias("s"))).withColumn("other", F.explode(others))
     named = tiled.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp")
-    return out.unionByName(named.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(radius), schema))
+    return out.unionByName(named.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(radius, tiles), schema))
 
 
 def simhash_classes(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, tile: int = TILE) -> DataFrame:
@@ -183,13 +172,17 @@ def simhash_classes(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, til
     wordless texts have fingerprint 0 and link like others. Null ids never name a component unless it has no
     other. Repeated rows are repeated in the result. Empty in, empty out; other columns are ignored.
     """
-    fps = written(fingerprints(docs, k), "simhash-fps")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = connected_components(written(links(distinct.select("fp"), radius, tile), "simhash-links"))
-    named = distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "simhash-classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    spark = docs.sparkSession
+    with scratch(spark) as kept:
+        fps = written(fingerprints(docs, k), "simhash-fps")
+        distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_n")), "simhash-distinct")
+        roots = connected_components(written(links(distinct.select("fp"), radius, tile), "simhash-links"))
+        named = distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", "first", "_n", F.coalesce("root", "fp").alias("root"))
+        smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+        classes = written(named.join(smallest, "root").select("fp", "component_id", "_n"), "simhash-classes")
+        kept += [fps, classes]
+    # A fingerprint of very many rows (that of all empty texts, say) is no key that its rows are dealt by.
+    return attach(fps, classes, "fp", ["component_id"], "doc_id")
 
 
 def keep_one_per_class(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -137,3 +137,31 @@ def test_texts_that_share_an_id_keep_a_row_for_each_class(spark):
     rows = [(1, texts[0], "en", "a", 1), (1, texts[1], "en", "a", 1), (2, texts[1], "en", "a", 1), (2, texts[0], "en", "a", 1), (1, texts[1], "en", "a", 1)]
     got = simhash.keep_one_per_class(docs(spark, rows)).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((1, t) for t in texts)
+
+
+def test_every_link_comes_from_a_compared_tile(spark):
+    d = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("fp").distinct()
+    d = d.unionByName(d.filter("fp % 5 = 0").select(F.expr("fp ^ 5L ^ shiftleft(1L, 40)").alias("fp"))).unionByName(d.filter("fp % 3 = 0").select(F.expr("fp ^ 3L").alias("fp"))).distinct()
+    sc = spark.sparkContext
+    tiles = (sc.accumulator(0), sc.accumulator(0))
+    edges = simhash.links(d, tiles=tiles).collect()
+    # Some nine buckets of about 900 rows, eight tiles each: 36 pairs a bucket, of which those of far population counts are skipped.
+    assert edges and tiles[0].value > 50 and tiles[1].value > 20
+    fps = np.array([r["fp"] for r in d.collect()]).view(np.uint64)
+    a, b, compared, skipped = simhash.tile_links(fps, 2)
+    n = -(-len(fps) // simhash.ROWS)
+    assert compared + skipped == n * (n + 1) // 2 and skipped > 0
+    near = {(min(x, y), max(x, y)) for x, y in np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2).tolist() if x != y}
+    at = {int(f): i for i, f in enumerate(fps)}
+    assert {tuple(sorted((at[int(x)], at[int(y)]))) for x, y in zip(a, b)} <= near
+    touched = lambda pairs: {v for p in pairs for v in p}
+    assert touched((at[e["a"] % 2**64], at[e["b"] % 2**64]) for e in edges) == touched(near) == touched((at[int(x)], at[int(y)]) for x, y in zip(a, b))
+
+
+def test_rows_of_a_hot_key_find_their_values(spark):
+    from stratalog.llm.common import attach
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 1000, "hot").when(F.col("id") < 2000, "x" * 300).when(F.col("id") < 2900, F.col("id").cast("string")).alias("k"))
+    table = rows.filter("id <> 2500").groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max("id").alias("v")).filter("k IS NOT NULL")
+    want = {r["id"]: r["v"] for r in rows.join(table, "k", "left").collect()}
+    assert {r["id"]: r["v"] for r in attach(rows, table, "k", ["v"], "id").collect()} == want and want[2500] is None and want[2950] is None
