@@ -10,7 +10,8 @@ Three stages, each of which groups by the digest *and the whole content*:
 3. The at most ``salts`` winners of each digest are combined.
 
 What maps a row to its winner is the digest alone, once stage 3 has shown that every digest stands
-for one content; digests of several contents, if there are any, are resolved by content.
+for one content; digests of several contents, if there are any, are resolved by content. Winners of digests that
+very many rows share are broadcast, so that no task has to join them all.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_or_empty, written
+from .common import attach, fresh, text_or_empty, written
 
 SALTS = 16
 WHITE = r"[\x20\x09-\x0D]+"
@@ -66,7 +67,7 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
         rows = members.groupBy("_dig", "_id").agg(F.count(F.lit(1)).alias("_m")).withColumn("text_sha256", F.lower(F.hex("_dig")))
     else:
         rows = members.withColumn("text_sha256", F.sha2("_norm", 256)).groupBy("_dig", "_id", "text_sha256").agg(F.count(F.lit(1)).alias("_m"))
-    out = rows.join(per_digest.drop("_contents"), "_dig")
+    out = attach(rows, per_digest, "_dig", ["keep_id", "group_size"], "_id", "group_size")
     if not several.isEmpty():  # different contents of one digest: told apart by content
         contents = combine(docs.join(several.withColumn("_k", F.col("_dig")), digest(normalised()) == F.col("_k"), "left_semi"), salts, digest)
         apart = (
@@ -88,8 +89,8 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
 def keep_first(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Needs non-null ids; rows without an id stay."""
-    (sha,) = fresh(docs, "_sha256")
-    kept = exact_groups(docs, salts).filter("kept").select("doc_id", F.col("text_sha256").alias(sha))
-    named = docs.withColumn(sha, F.sha2(normalised(), 256)).join(kept, ["doc_id", sha], "left_semi")
-    one = named.dropDuplicates(["doc_id", sha]).drop(sha)
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    sha, of, dig = fresh(docs, "_sha256", "_of", "_dig")
+    kept = combine(docs, salts).filter("keep_id IS NOT NULL").select(F.col("keep_id").alias(of), F.col("_dig").alias(dig))
+    named = docs.withColumn(sha, sha256(normalised()))
+    rows = named.join(written(kept, "exact-kept"), (F.col("doc_id") == F.col(of)) & (F.col(sha) == F.col(dig)), "left_semi")
+    return rows.dropDuplicates(["doc_id", sha]).drop(sha).unionByName(docs.filter("doc_id IS NULL"))
