@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,15 +97,16 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int
             total += z.T @ np.column_stack([z, b.column(0).to_numpy(zero_copy_only=False)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    def add(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * (size + 1))
-        for s in frame["sums"]:
-            total += np.frombuffer(s)
-        return pd.DataFrame({"sums": [total.tobytes()]})
+        for b in batches:
+            for s in b.column(0):
+                total += np.frombuffer(s.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     fitting = rows.filter("_fold < 2") if first["_fit"] else rows
     parts = fitting.select("_y", *names).repartition(min(TASKS, shuffle_partitions(stats.sparkSession))).mapInArrow(sums, "sums binary")
-    added = parts.withColumn("_g", F.spark_partition_id() % SUMS).groupBy("_g").applyInPandas(lambda k, f: add(k, f), "sums binary").collect()
+    added = parts.repartitionById(SUMS, F.spark_partition_id() % SUMS).mapInArrow(add, "sums binary").collect()
     total = sum(np.frombuffer(r["sums"]) for r in added).reshape(size, size + 1)
     n = total[-1, size - 1]
     model.beta = np.linalg.solve(total[:, :size] + RIDGE * n / features * np.eye(size), total[:, size])
@@ -118,7 +118,6 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int
 
     calibrating = rows.filter("_fold = 3") if first["_cal"] else rows
     held = calibrating.select("_y", *names).mapInArrow(bins, "bin bigint, y double").groupBy("bin").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("bin")
-    # Half a row of either class in each bin's pool keeps a few rows from claiming certainty.
     model.grid = LOW + (held["bin"].to_numpy() + 0.5) * (HIGH - LOW) / BINS
     model.value = pav((held["y"] / held["n"]).to_numpy(float), held["n"].to_numpy(float))
     return model
