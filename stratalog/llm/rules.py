@@ -2,8 +2,8 @@
 
 Each rule is a conjunction of thresholds on interpretable statistics. It grows on two thirds of the
 labelled rows, adding the condition of the highest information gain (FOIL), and is pruned on the
-remaining third, dropping final conditions while that raises its precision there. Covered
-rows leave, and the next rule is learned, until none reaches the required precision. The list becomes one ordered
+remaining third, dropping final conditions while that raises its precision there (another third, if the rule falls short).
+Covered rows leave, and the next rule is learned, until none reaches the required precision. The list becomes one ordered
 Spark conditional expression.
 """
 
@@ -100,33 +100,42 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray, names: list[str]) -> Rule
 
 
 def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = PRECISION, min_cover: int = MIN_COVER, most_rules: int = 24, most_conditions: int = 4) -> list[Rule]:
-    """Ordered rules that reject. Rows must come in an order that does not depend on the labels: every third row prunes."""
+    """Ordered rules that reject. Rows must come in an order that does not depend on the labels: every third row prunes.
+
+    Where the rule that a fold gives is not right often enough, the other folds prune in turn; the list ends when none gives one.
+    """
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
-    fold = np.arange(len(x)) % _FOLD == _FOLD - 1
     while len(rules) < most_rules and (bad & left).sum() >= min_cover:
-        grow, prune = left & ~fold, left & fold
-        if not (bad & grow).any():
-            break
-        cuts = []
-        for v in x[grow].T:
-            u = np.unique(v)
-            mid = (u[1:] + u[:-1]) / 2
-            cuts.append(mid if len(mid) <= _CUTS else np.unique(np.concatenate([np.quantile(v, np.linspace(0, 1, _CUTS)), np.quantile(v[bad[grow]], np.linspace(0, 1, _CUTS))])))
-        cuts = [c if len(c) else np.zeros(1) for c in cuts]
-        rule = _grow(x[grow], bad[grow], names, cuts, most_conditions)
-        if not rule:
-            break
-        rule = _prune(rule, x[prune], bad[prune], names)
-        hit = covers(rule, x, names) & left
-        cover, right = int(hit.sum()), int((hit & bad).sum())
-        if cover < min_cover or right < precision * cover or (right + 1) / (cover + 2) < LAPLACE or _laplace(rule, x[prune], bad[prune], names) < LAPLACE_PRUNING:
+        found = (_next_rule(x, bad, names, left, np.arange(len(x)) % _FOLD == k, precision, min_cover, most_conditions) for k in reversed(range(_FOLD)))
+        rule = next(filter(None, found), None)
+        if rule is None:
             break
         rules.append(rule)
         left &= ~covers(rule, x, names)
     return rules
 
 
+def _next_rule(x: np.ndarray, bad: np.ndarray, names: list[str], left: np.ndarray, fold: np.ndarray, precision: float, min_cover: int, most_conditions: int) -> Rule | None:
+    """A rule grown on the rows left outside a fold and pruned on those in it, if it is right often enough."""
+    grow, prune = left & ~fold, left & fold
+    if not (bad & grow).any():
+        return None
+    cuts = []
+    for v in x[grow].T:
+        u = np.unique(v)
+        mid = (u[1:] + u[:-1]) / 2
+        cuts.append(mid if len(mid) <= _CUTS else np.unique(np.concatenate([np.quantile(v, np.linspace(0, 1, _CUTS)), np.quantile(v[bad[grow]], np.linspace(0, 1, _CUTS))])))
+    rule = _grow(x[grow], bad[grow], names, [c if len(c) else np.zeros(1) for c in cuts], most_conditions)
+    if not rule:
+        return None
+    rule = _prune(rule, x[prune], bad[prune], names)
+    hit = covers(rule, x, names) & left
+    cover, right = int(hit.sum()), int((hit & bad).sum())
+    sure = cover >= min_cover and right >= precision * cover and (right + 1) / (cover + 2) >= LAPLACE and _laplace(rule, x[prune], bad[prune], names) >= LAPLACE_PRUNING
+    return rule if sure else None
+
+
 def as_column(rules: list[Rule], features: dict[str, Column]) -> Column:
     """The number of the first rule that holds (from 1), or 0: an ordered CASE WHEN."""
     out = None
@@ -141,16 +150,18 @@ def as_column(rules: list[Rule], features: dict[str, Column]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, **params) -> list[Rule]:
     """Rules learned from at most ``limit`` labelled rows, those of the smallest hashes of their ids.
 
-    Null ids and null labels are left out; repeated ids count once per row. Without bad rows the list is empty.
+    Ids may be of any type. Null ids and null labels are left out; repeated ids count once per row. Without bad rows the list is
+    empty.
     """
     label = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", (F.col("quality") == 0).alias("_bad"))
     picked = label.orderBy(F.xxhash64("doc_id"), "doc_id", "_bad").limit(limit)
     few = F.broadcast(picked.select("doc_id").distinct())  # at most ``limit`` ids
     features = shares()
     stats = with_stats(docs.join(few, "doc_id", "left_semi").select("doc_id", "text"))
-    rows = stats.join(F.broadcast(picked), "doc_id").select("doc_id", "_bad", *(c.alias(n) for n, c in features.items())).toPandas()
-    rows = rows.assign(_h=rows["doc_id"].map(lambda i: (int(i) * 2654435761) % 2**32)).sort_values(["_h", "doc_id"])
     names = list(features)
+    order = F.crc32(F.col("doc_id").cast("string").cast("binary"))  # has nothing to do with the labels
+    rows = stats.join(F.broadcast(picked), "doc_id").select(order.alias("_h"), "doc_id", "_bad", *(c.alias(n) for n, c in features.items())).toPandas()
+    rows = rows.sort_values(["_h", "doc_id", "_bad", *names])
     return learn(rows[names].to_numpy(float), rows["_bad"].to_numpy(bool), names, **params)
 
 
