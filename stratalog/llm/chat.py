@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 ASSISTANT = "assistant"
 
@@ -88,8 +90,9 @@ def read_turns(formatted: Column) -> Column:
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the formatted output holds: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples, example_chars.
 
-    Turns come from the formatted text, the loss from the exploded examples.
+    Turns come from the formatted text, the loss from the exploded examples. The formatted conversations are stored once, for both.
     """
+    formatted = written(formatted, "chat-formatted")
     turns = formatted.select("conv_id", F.col("formatted"), read_turns(F.col("formatted")).alias("_t")).select(
         "conv_id",
         F.size("_t").cast("long").alias("n_turns"),
