@@ -7,7 +7,7 @@ piece if it is compatible with the last piece of the prefix that remains before
 backwards from the table. Characters that no piece has are symbols of their own, compatible with all, and become byte pieces.
 
 Pieces never continue past a space mark (checked on loading), so a text falls into chunks that start at a
-space mark; a bounded memo keeps what recent chunks encode and decode to.
+space mark; a bounded memo keeps what recent chunks encode to. Ids are decoded from the whole list that encoding gives.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -74,7 +75,9 @@ class PrefixTable:
         self.automaton.make_automaton()
         #: What an id decodes to on its own; None for bytes, controls and the unknown id.
         self.plain = [None if i in self.byte_of or i in self.control or i == self.unknown else t for i, t in enumerate(self.text)]
-        self.memo: dict[str, tuple[str, int, str]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        #: Ids as decimal text.
+        self.digits = [str(i) for i in range(n)]
 
     def merged(self, text: str, last: bool = False) -> list[str]:
         """BPE by its definition: the best adjacent pair first, of equal ones the leftmost.
@@ -160,12 +163,11 @@ class PrefixTable:
             return []
         return _CHUNK.findall(" " + text.replace(SPACE, " "))
 
-    def coded(self, chunk: str) -> tuple[str, int, str]:
-        """Decimal ids joined by commas, their number, and the text that they decode to."""
+    def coded(self, chunk: str) -> tuple[int, ...]:
+        """The ids of a chunk."""
         known = self.memo.get(chunk)
         if known is None:
-            ids = self.ids_of(chunk)
-            known = (",".join(map(str, ids)), len(ids), self.raw_decode(ids))
+            known = tuple(self.ids_of(chunk))
             if len(chunk) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -173,7 +175,8 @@ class PrefixTable:
         return known
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for c in self.chunks(text) for i in self.coded(c)[0].split(",")]
+        known = self.memo.get
+        return list(chain.from_iterable(known(c) or self.coded(c) for c in self.chunks(text)))
 
     def raw_decode(self, ids: list[int]) -> str:
         """The text of ids with the dummy prefix still on it."""
@@ -240,15 +243,14 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = loaded(model_file)
-        known = table.memo.get
+        digits = table.digits.__getitem__
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
-                coded = [known(c) or table.coded(c) for c in table.chunks(text)]
-                listed, counts, back = zip(*coded) if coded else ((), (), ())
-                joined, back = ",".join(listed), "".join(back)[1:]  # the dummy prefix goes
-                row = (sum(counts), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                rows.append((*row, [int(i) for i in joined.split(",")] if joined else []) if with_ids else row)
+                ids = table.encode(text)
+                back = table.decode(ids)
+                row = (len(ids), hashlib.sha256(",".join(map(digits, ids)).encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                rows.append((*row, ids) if with_ids else row)
             kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if with_ids else [])]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
@@ -259,7 +261,10 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = True) ->
 
 
 def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, text decoded from the ids column; null ids give an empty text."""
+    """doc_id, text decoded from the ids column; null ids give an empty text.
+
+    The unknown id, which encoding never gives, is decoded as " ⁇ "; the library spells it by its neighbours.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = loaded(model_file)
