@@ -79,6 +79,105 @@ def test_rules_and_classifier_on_labelled_documents(spark):
     assert scored.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
 
 
+def brute_rules(x, bad, names):
+    """The verdict of a decision list learned by the definition, with plain loops: no sorting, no running sums."""
+    holds = lambda rule, i: all((x[i][j] > cut) == above for j, above, cut in rule)
+
+    def one(left, fold):
+        grow, prune = [i for i in left if i % 3 != fold], [i for i in left if i % 3 == fold]
+        rule, live = [], grow
+        cuts = [sorted({x[i][j] for i in grow}) for j in range(len(names))]
+        cuts = [[(a + b) / 2 for a, b in zip(c, c[1:])] or [0.0] for c in cuts]
+        while len(rule) < 4 and any(not bad[i] for i in live):
+            p0, n0, best = sum(bad[i] for i in live), len(live), (1e-9, None)
+            for j in range(len(names)):
+                for above in (False, True):
+                    for cut in cuts[j]:
+                        hit = [i for i in live if (x[i][j] > cut) == above]
+                        p = sum(bad[i] for i in hit)
+                        gain = p * (np.log2(p / len(hit)) - np.log2(p0 / n0)) if p else 0.0
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (j, above, cut))
+            if best[1] is None:
+                break
+            j, above, cut = best[1]
+            low, high = [x[i][j] for i in live if x[i][j] <= cut], [x[i][j] for i in live if x[i][j] > cut]
+            rule.append((j, above, (max(low) + min(high)) / 2 if low and high else cut))
+            live = [i for i in live if holds(rule[-1:], i)]
+        if not rule:
+            return None
+
+        def value(r):
+            hit = [i for i in prune if holds(r, i)]
+            return sum(1 if bad[i] else -1 for i in hit) / max(1, len(hit))
+
+        rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (value(r), -len(r)))
+        hit, pruned = [i for i in left if holds(rule, i)], [i for i in prune if holds(rule, i)]
+        laplace = lambda rows_: (sum(bad[i] for i in rows_) + 1) / (len(rows_) + 2)
+        right = sum(bad[i] for i in hit)
+        ok = len(hit) >= rules.MIN_COVER and right >= rules.PRECISION * len(hit) and laplace(hit) >= rules.LAPLACE and laplace(pruned) >= rules.LAPLACE_PRUNING
+        return rule if ok else None
+
+    left, learned = list(range(len(x))), []
+    while sum(bad[i] for i in left) >= rules.MIN_COVER:
+        rule = one(left, 2) or one(left, 1) or one(left, 0)
+        if rule is None:
+            break
+        learned.append(rule)
+        left = [i for i in left if not holds(rule, i)]
+    return [next((k for k, r in enumerate(learned, 1) if holds(r, i)), 0) for i in range(len(x))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_learned_verdict_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 40, (240, 3)) / 8
+    bad = (x[:, 0] > 3.5) | ((x[:, 1] < 1) & (x[:, 2] > 2))
+    bad[:3] ^= True
+    learned = rules.learn(x, bad, ["a", "b", "c"])
+    got = [next((k for k, r in enumerate(learned, 1) if rules.covers(r, v[None], ["a", "b", "c"])[0]), 0) for v in x]
+    assert got == brute_rules(x.tolist(), bad.tolist(), "abc") and max(got) >= 2
+
+
+def test_rules_of_string_ids(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert rules.apply(d, rules.fit(d, labels)).filter("rule > 0").count() > 0
+
+
+def test_classifier_against_a_direct_solve(spark):
+    """The whole query: one matrix, one solve and a quadratic calibration instead of partition sums and pooled bins."""
+    from stratalog.llm.common import written
+
+    base = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    names = list(textstats.shares())
+    rows = textstats.with_stats(d).select("doc_id", *(c.cast("double").alias(n) for n, c in textstats.shares().items())).toPandas()
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    ids, x = rows["doc_id"].tolist(), rows[names].to_numpy(float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 4 for i in ids])
+    y = np.array([quality.get(i, np.nan) for i in ids], float)
+    known = ~np.isnan(y) & (fold != 2)
+    mean, scale = x[known].mean(axis=0), x[known].std(axis=0)
+    rng = np.random.default_rng(7)
+    w, phase = rng.normal(size=(len(names), 256)) / np.sqrt(len(names) / 2), rng.uniform(0, 2 * np.pi, 256)
+    z = np.hstack([np.cos(np.clip((x - mean) / np.where(scale > 1e-9, scale, 1), -3, 3) @ w + phase) * np.sqrt(2 / 256), np.ones((len(x), 1))])
+    fit, cal = known & (fold < 2), known & (fold == 3)
+    # Ridge as least squares with added rows.
+    extra = np.sqrt(1e-3 * fit.sum() / 256) * np.eye(257)
+    beta = np.linalg.lstsq(np.vstack([z[fit], extra]), np.r_[y[fit], np.zeros(257)], rcond=None)[0]
+    raw = z @ beta
+    at = np.clip(((raw[cal] + 0.5) / 2 * 4096), 0, 4095).astype(int)
+    bins = sorted(set(at))
+    mean_of, size_of = [y[cal][at == b].mean() for b in bins], [(at == b).sum() for b in bins]
+    # Isotonic by its max-min formula.
+    avg = lambda i, j: np.average(mean_of[i : j + 1], weights=size_of[i : j + 1])
+    value = [max(min(avg(i, j) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))]
+    want = np.clip(np.interp(raw, -0.5 + (np.array(bins) + 0.5) * 2 / 4096, value), 0, 1)
+    got = {r["doc_id"]: r["score"] for r in written(classifier.classify(d, labels), "test-scores").collect()}
+    assert np.abs(np.array([got[i] for i in ids]) - want).max() < 1e-4
+
+
 def test_classifier_on_edge_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in classifier.classify(docs(spark), none).collect()} == {0.5}
