@@ -7,6 +7,8 @@ are summed, and each range numbers its own rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +35,7 @@ def committed(log: DataFrame) -> DataFrame:
 
 
 def with_batches(log: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds batch: the number of commit markers on preceding rows."""
+    """Adds batch: the number of commit markers on preceding rows. Rows without a seq have no place in the log and are left out."""
     marker = (F.col("op") == "commit").cast("long")
     rows = log.withColumn("_block", F.floor(F.col("seq") / F.lit(block)))
     totals = rows.groupBy("_block").agg(F.sum(marker).alias("_n"))
@@ -42,6 +44,22 @@ def with_batches(log: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.withColumn("_within", within).join(before, "_block").withColumn("batch", F.col("_before") + F.col("_within")).drop("_block", "_within", "_before")
 
 
+def torn_tails(log: DataFrame, cuts: Sequence[int]) -> DataFrame:
+    """cut, last_commit, batches, records: what survives when the record at each of a few seqs is the first damaged one.
+
+    last_commit is null, and the counts are 0, where no marker precedes the cut. Two passes of one aggregate each.
+    """
+    seq, commit = F.col("seq"), F.col("op") == "commit"
+    found = log.agg(*(F.max(F.when(commit & (seq < F.lit(c)), seq)).alias(f"m{i}") for i, c in enumerate(cuts))).first()
+    lasts = [-1 if m is None else m for m in found]
+    counts = log.agg(
+        *(F.count_if(commit & (seq <= F.lit(m))).alias(f"b{i}") for i, m in enumerate(lasts)),
+        *(F.count_if(~commit & (seq < F.lit(m))).alias(f"r{i}") for i, m in enumerate(lasts)),
+    )
+    rows = [F.struct(F.lit(c).cast("long").alias("cut"), F.lit(found[i]).cast("long").alias("last_commit"), F.col(f"b{i}").alias("batches"), F.col(f"r{i}").alias("records")) for i, c in enumerate(cuts)]
+    return counts.select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+
+
 def replay(log: DataFrame) -> DataFrame:
     """Committed records of the intact part of a log, with batch."""
     whole = intact(log)

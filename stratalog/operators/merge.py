@@ -82,11 +82,14 @@ def purge(merged: DataFrame, dest_level: int, max_level: int) -> DataFrame:
 
 
 def upsert(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """base and changes have key, value, seq: the newest of both, with is_new for keys that base lacks."""
-    tagged = base.withColumn("_base", F.lit(1)).unionByName(changes.withColumn("_base", F.lit(0)))
-    w = Window.partitionBy("key")
-    marked = tagged.withColumn("_had", F.max("_base").over(w)).withColumn("_rank", F.row_number().over(w.orderBy(F.col("seq").desc())))
-    return marked.filter("_rank = 1").withColumn("is_new", F.col("_had") == 0).drop("_base", "_had", "_rank")
+    """base and changes have key, value, seq: the newest of both, with is_new for keys that base lacks.
+
+    One partial aggregate, so that a key of very many changes leaves each task as one row.
+    """
+    tagged = base.withColumn("_base", F.lit(True)).unionByName(changes.withColumn("_base", F.lit(False)))
+    payload = F.struct(*[c for c in base.columns if c != "key"])
+    merged = tagged.groupBy("key").agg(F.max_by(payload, F.col("seq")).alias("_v"), (~F.bool_or("_base")).alias("is_new"))
+    return merged.select("key", "_v.*", "is_new").select(*base.columns, "is_new")
 
 
 def delete(base: DataFrame, keys: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import SparkSession
 
+#: Where intermediate files go when the session names no shared folder (local runs and tests).
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
@@ -54,18 +56,37 @@ class Storage:
             self._fs.delete(temp, False)
         return done
 
-    def rename(self, old: str, new: str) -> bool:
+    def rename(self, old: str, new: str) -> None:
+        """Moves a file or folder to a name that is free; raises if it did not, for then what was written is not there."""
         self._fs.mkdirs(self._p(new).getParent())
-        return self._fs.rename(self._p(old), self._p(new))
+        # A folder that is renamed to an existing one would end up inside it.
+        if self.exists(new) or not self._fs.rename(self._p(old), self._p(new)):
+            raise OSError(f"{self.path(old)} could not be renamed to {self.path(new)}")
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._p(name), True)
 
+    def age(self, name: str) -> float:
+        """Seconds since a file was written."""
+        return time.time() - self._fs.getFileStatus(self._p(name)).getModificationTime() / 1000
+
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self._p(name)).getLength()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir`` or of ``setCheckpointDir``; only where both are unset, a local one is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get().rstrip("/")
+        path = LOCAL_FALLBACK
+        spark.sparkContext.setCheckpointDir(path)
+        return shared_dir(spark)
+    return path.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no earlier call has returned."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -4,10 +4,18 @@
     runs/level=L/ID-xxxx/  one sorted run (Parquet); names are never used twice
     manifest/N.json        version N of the metadata, created whole; the highest number counts
 
+    lease/N.json           who writes: the highest number counts
+
 A change is visible once its batch is in place. A flush writes a run, then commits a manifest version that names it
 together with the first log batch that is not flushed, and only then deletes what became unreachable; a compaction likewise
-names its outputs and drops its inputs in one version. Opening a store recovers it: uncommitted files are orphans and go.
-One writer at a time.
+names its outputs and drops its inputs in one version. A run of level 0 may have several parts, disjoint and of one id.
+
+Opening a store for writing takes its lease and recovers it: uncommitted files are orphans and go. A writer that has lost
+the lease raises at its next change, before anything of it becomes visible. Any number of readers may open a store
+besides (``read_only``): they write and delete nothing, and the files of earlier manifest versions stay ``keep_seconds`` for them.
+
+Every run carries a key filter, as Parquet's own Bloom filters of its key column: written with it, there whenever the store is
+opened, and asked by the scans of ``get`` and ``multi_get``, which skip the row groups that certainly lack the keys.
 """
 
 from __future__ import annotations
@@ -25,6 +33,8 @@ from ..functions.keys import entry_bytes
 from ..operators import merge
 from .storage import Storage
 
+#: Keys that a scan is given as a list; Spark asks Parquet's filters for up to ten (spark.sql.parquet.pushdown.inFilterThreshold).
+INLINE_KEYS = 10
 CHANGE = T.StructType([
     T.StructField("seq", T.LongType()),
     T.StructField("key", T.BinaryType()),
@@ -77,9 +87,18 @@ class Manifest:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, config: StoreConfig = StoreConfig()):
-        """Opens a store, recovering what a crash left; a folder that is not there is an empty store."""
-        self.spark, self.config, self.files = spark, config, Storage(spark, root)
+    def __init__(self, spark: SparkSession, root: str, config: StoreConfig = StoreConfig(), read_only: bool = False):
+        """Opens a store, as a writer recovering what a crash left; a folder that is not there is an empty store."""
+        self.spark, self.config, self.files, self.read_only = spark, config, Storage(spark, root), read_only
+        self._past: dict[int, Manifest] = {}
+        if not read_only:
+            self._take_lease()
+        self.refresh()
+        if not read_only:
+            self.clean()
+
+    def refresh(self) -> None:
+        """Reads the newest version and what the log has since."""
         versions = [int(n.removesuffix(".json")) for n in self.files.names("manifest") if n.endswith(".json")]
         self.manifest = Manifest.loads(self.files.read(f"manifest/{max(versions)}.json")) if versions else Manifest()
         placed = [int(n.removeprefix("batch-")) for n in self.files.names("wal") if n.startswith("batch-")]
@@ -87,7 +106,20 @@ class Store:
         if last >= self.manifest.next_batch:
             self.manifest = replace(self.manifest, next_batch=last + 1)
         self._sources_of_log()
-        self.clean()
+
+    def _take_lease(self) -> None:
+        held = [int(n.removesuffix(".json")) for n in self.files.names("lease")]
+        self.lease = max(held, default=0) + 1
+        if not self.files.create(f"lease/{self.lease}.json", json.dumps({"owner": uuid.uuid4().hex})):
+            raise RuntimeError("another writer opens the store")
+        for n in held:
+            self.files.delete(f"lease/{n}.json")
+
+    def _check_lease(self) -> None:
+        if self.read_only:
+            raise RuntimeError("the store was opened for reading only")
+        if max((int(n.removesuffix(".json")) for n in self.files.names("lease")), default=0) != self.lease:
+            raise RuntimeError("another writer has opened the store")
 
     # Writing
 
@@ -107,6 +139,7 @@ class Store:
         An input seq orders changes within the batch. False if the source's micro-batch was committed before.
         Without seq, which of several changes of one key wins is not defined.
         """
+        self._check_lease()
         if source is not None and self.manifest.sources.get(source, -1) >= source_batch:
             return False
         n = self.manifest.next_batch
@@ -118,6 +151,7 @@ class Store:
         typed.write.parquet(self.files.path(temp))
         if source is not None:
             self.files.create(f"{temp}/_source.json", json.dumps([source, source_batch]))
+        self._check_lease()
         self.files.rename(temp, f"wal/batch-{n:012d}")
         sources = self.manifest.sources | ({source: source_batch} if source is not None else {})
         self.manifest = replace(self.manifest, next_batch=n + 1, sources=sources)
@@ -168,7 +202,14 @@ class Store:
         return bytes(rows[0]["value"]) if rows and rows[0]["value"] is not None else None
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        return merge.multi_get(self.versions(), keys, merge.run_recency()).select("key", "value", "found")
+        """key, value, found of every distinct asked key. Only runs between the least and the greatest of them are read, and
+        of up to INLINE_KEYS the runs' key filters are asked."""
+        low, high, n = keys.agg(F.min("key"), F.max("key"), F.count_distinct("key")).first()
+        runs = [] if low is None else [r for r in self.manifest.runs if r.meets(bytes(low).hex(), bytes(high).hex())]
+        versions = self.versions(runs)
+        if 0 < n <= INLINE_KEYS:
+            versions = versions.filter(F.col("key").isin([r["key"] for r in keys.select("key").filter("key IS NOT NULL").distinct().collect()]))
+        return merge.multi_get(versions, keys, merge.run_recency()).select("key", "value", "found")
 
     def scan(self, low: bytes, high: bytes) -> DataFrame:
         """Live rows between two keys, both inclusive, in key order."""
@@ -182,17 +223,21 @@ class Store:
 
     def checked_flush(self) -> bool:
         """Flushes if the memtable's size has reached the threshold, then compacts what is due."""
-        size = self._sized(self.memtable()).agg(F.sum("_bytes")).first()[0] or 0
+        size = self._memtable_bytes()
         if size < self.config.flush_bytes:
             return False
-        self.flush()
+        self.flush(size)
         self.try_compact()
         return True
 
-    def flush(self) -> None:
-        """Writes the memtable as a run of level 0; nothing for an empty one."""
+    def _memtable_bytes(self) -> int:
+        return self._sized(self.memtable()).agg(F.sum("_bytes")).first()[0] or 0
+
+    def flush(self, size: int | None = None) -> None:
+        """Writes the memtable as a run of level 0, in parts of the run size; nothing for an empty one. size: its bytes, if known."""
+        self._check_lease()
         upto = self.manifest.next_batch
-        written = self._write_runs(self.memtable(), 0, one=True)
+        written = self._write_runs(self.memtable(), 0, self._memtable_bytes() if size is None else size, one=True)
         if written or upto > self.manifest.first_batch:
             self._commit(replace(self.manifest, runs=self.manifest.runs + tuple(written), next_ids=self._used(written), first_batch=upto))
 
@@ -202,28 +247,37 @@ class Store:
             ids[str(r.level)] = max(ids.get(str(r.level), 0), r.id + 1)
         return ids
 
-    def _write_runs(self, rows: DataFrame, level: int, one: bool = False) -> list[Run]:
-        """Range-partitioned, sorted rows as runs; one run per partition, whose number follows from the total size."""
+    def _write_runs(self, rows: DataFrame, level: int, total: int, one: bool = False) -> list[Run]:
+        """Range-partitioned, sorted rows as runs: as many as the bytes given take at most. one: parts of a run, which share an id.
+
+        The rows are written in one go; sizes and ranges of the runs are read back from what was written.
+        """
         names = ["key", "value", "is_tombstone"]
-        total = self._sized(rows).agg(F.sum("_bytes")).first()[0]
         if not total:
             return []
-        parts = 1 if one else -(-total // self.config.run_bytes)
-        dealt = rows.select(*names).coalesce(1) if parts == 1 else rows.select(*names).repartitionByRange(int(parts), "key")
+        parts = int(-(-total // self.config.run_bytes))
+        dealt = rows.select(*names).coalesce(1) if parts == 1 else rows.select(*names).repartitionByRange(parts, "key")
         temp = f"_tmp-{uuid.uuid4().hex}"
-        dealt.withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", "key").write.partitionBy("_part").parquet(self.files.path(temp))
+        writer = dealt.withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", "key").write.partitionBy("_part")
+        per_run = max(self.config.bloom_keys, self.config.run_bytes // (self.config.put_overhead + 1))
+        writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(per_run)).option(
+            "parquet.bloom.filter.fpp#key", str(self.config.bloom_rate)
+        ).option("parquet.bloom.filter.adaptive.enabled", "true").parquet(self.files.path(temp))
+        self._check_lease()
         back = self._sized(self.spark.read.parquet(self.files.path(temp)))
         stats = back.groupBy("_part").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("b")).collect()
         first = self.manifest.next_ids.get(str(level), 0)
         runs = []
         for i, s in enumerate(sorted(stats, key=lambda s: bytes(s["a"]))):
-            path = f"runs/level={level}/{first + i:012d}-{uuid.uuid4().hex}"
+            number = first if one else first + i
+            path = f"runs/level={level}/{number:012d}-{uuid.uuid4().hex}"
             self.files.rename(f"{temp}/_part={s['_part']}", path)
-            runs.append(Run(level, first + i, path, bytes(s["a"]).hex(), bytes(s["z"]).hex(), s["n"], s["b"]))
+            runs.append(Run(level, number, path, bytes(s["a"]).hex(), bytes(s["z"]).hex(), s["n"], s["b"]))
         self.files.delete(temp)
         return runs
 
     def _commit(self, new: Manifest) -> None:
+        self._check_lease()
         new = replace(new, version=self.manifest.version + 1)
         if not self.files.create(f"manifest/{new.version}.json", new.dumps()):
             raise RuntimeError("another writer has committed this version")
@@ -231,18 +285,26 @@ class Store:
         self.clean()
 
     def clean(self) -> None:
-        """Deletes what no manifest version that counts refers to."""
-        live = {r.path for r in self.manifest.runs}
+        """Deletes manifest versions that a newer one replaced ``keep_seconds`` ago, what no version that is left refers to, and
+        what no one commits any more."""
+        self._check_lease()
+        kept = [self.manifest]
+        versions = sorted(int(n.removesuffix(".json")) for n in self.files.names("manifest"))
+        for n, newer in zip(versions, versions[1:]):
+            if self.files.age(f"manifest/{newer}.json") >= self.config.keep_seconds:
+                self.files.delete(f"manifest/{n}.json")
+            else:
+                kept.append(self._past.get(n) or Manifest.loads(self.files.read(f"manifest/{n}.json")))
+        self._past = {m.version: m for m in kept}
+        live = {r.path for m in kept for r in m.runs}
+        first_batch = min(m.first_batch for m in kept)
         for level in self.files.names("runs"):
             for name in self.files.names(f"runs/{level}"):
                 if f"runs/{level}/{name}" not in live:
                     self.files.delete(f"runs/{level}/{name}")
         for name in self.files.names("wal"):
-            if int(name.removeprefix("batch-")) < self.manifest.first_batch:
+            if int(name.removeprefix("batch-")) < first_batch:
                 self.files.delete(f"wal/{name}")
-        for name in self.files.names("manifest"):
-            if int(name.removesuffix(".json")) < self.manifest.version - 1:
-                self.files.delete(f"manifest/{name}")
         for name in self.files.names(""):
             if name.startswith("_tmp-"):
                 self.files.delete(name)
@@ -251,7 +313,7 @@ class Store:
         level = 0
         while level <= self.manifest.max_level():
             runs = self.manifest.level(level)
-            due = len(runs) >= self.config.level0_runs if level == 0 else sum(r.bytes for r in runs) > self.config.level_limit(level)
+            due = len({r.id for r in runs}) >= self.config.level0_runs if level == 0 else sum(r.bytes for r in runs) > self.config.level_limit(level)
             if not due:
                 level += 1
                 continue
@@ -261,6 +323,7 @@ class Store:
 
     def compact(self, level: int) -> None:
         """Merges level 0, or the run that a deeper level's cursor points at, with what it meets one level below."""
+        self._check_lease()
         runs = self.manifest.level(level)
         if not runs:
             return
@@ -276,7 +339,7 @@ class Store:
         merged = merge.newest(self._records(inputs), merge.run_recency())
         deepest = max((r.level for r in self.manifest.runs if r not in inputs), default=0)
         merged = merge.purge(merged, level + 1, max(deepest, level + 1))
-        new = self._write_runs(merged, level + 1)
+        new = self._write_runs(merged, level + 1, sum(r.bytes for r in inputs))
         kept = tuple(r for r in self.manifest.runs if r not in inputs)
         self._commit(replace(self.manifest, runs=kept + tuple(new), next_ids=self._used(new), cursors=cursors))
 
