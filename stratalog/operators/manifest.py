@@ -1,14 +1,15 @@
 """Queries over run metadata: which runs are live, which cover or overlap a range, which comes next.
 
 A files table has level, id, first_key, last_key, n_rows, bytes: one row per run, so even a store of 100 TB has some
-hundred thousand. Range matches are bucket-free theta joins against it; the metadata side is broadcast only up to
-BROADCAST_FILES rows.
+hundred thousand. Range matches are equi-joins on bins of the key space: up to BINS keys that the runs' starts
+give (those of the smallest hashes, so what reaches the driver is bounded) cut it, a range is in every bin that it meets, and a key in
+one. Bins hold about as many runs each, whatever the keys are like.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BROADCAST_FILES = 100_000
+#: Bins of the key space in range joins, and how many of them one step of the search for a key's bin skips.
+BINS, STRIDE = 1_024, 32
 
 
 def metadata(files: DataFrame) -> DataFrame:
@@ -29,17 +32,38 @@ def order(files: DataFrame) -> DataFrame:
     return files.withColumn("place", F.row_number().over(w).cast("long"))
 
 
+def bins(files: DataFrame, most: int = BINS) -> Callable[[Column], Column]:
+    """Key -> the number of its bin, which ascends with the key."""
+    starts = files.select("first_key").filter("first_key IS NOT NULL").distinct()
+    cuts = sorted(r["first_key"] for r in starts.orderBy(F.xxhash64("first_key"), "first_key").limit(most).collect())
+    if not cuts:
+        return lambda key: F.lit(0)
+    fine, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[::STRIDE]))
+
+    def bin_of(key: Column) -> Column:
+        upto = lambda cuts: F.size(F.filter(cuts, lambda c: c <= key))
+        skip = (upto(coarse) - 1) * STRIDE
+        return F.when(skip < 0, 0).otherwise(skip + upto(F.slice(fine, F.greatest(skip, F.lit(0)) + 1, F.lit(STRIDE))))
+
+    return bin_of
+
+
 def runs_for_keys(files: DataFrame, keys: DataFrame) -> DataFrame:
     """key, level, id of every run whose range holds the key, bounds included."""
-    f = metadata(files.select("level", "id", "first_key", "last_key"))
-    return keys.select("key").distinct().join(f, (F.col("first_key") <= F.col("key")) & (F.col("key") <= F.col("last_key"))).select("key", "level", "id")
+    bin_of = bins(files)
+    f = files.select("level", "id", "first_key", "last_key", F.explode(F.sequence(bin_of(F.col("first_key")), bin_of(F.col("last_key")))).alias("_bin"))
+    asked = keys.select("key").filter("key IS NOT NULL").distinct().withColumn("_bin", bin_of(F.col("key")))
+    return asked.join(f, "_bin").filter((F.col("first_key") <= F.col("key")) & (F.col("key") <= F.col("last_key"))).select("key", "level", "id")
 
 
 def overlaps(files: DataFrame) -> DataFrame:
-    """level, id, next_id: runs of the next level whose ranges meet this run's."""
-    below = metadata(files.select((F.col("level") - 1).alias("_up"), F.col("id").alias("next_id"), F.col("first_key").alias("_first"), F.col("last_key").alias("_last")))
-    met = (F.col("level") == F.col("_up")) & (F.col("_last") >= F.col("first_key")) & (F.col("_first") <= F.col("last_key"))
-    return files.join(below, met).select("level", "id", "next_id")
+    """level, id, next_id: runs of the next level whose ranges meet this run's. Each pair is found in the first bin that both meet."""
+    bin_of = bins(files)
+    ranged = files.select("level", "id", "first_key", "last_key", bin_of(F.col("first_key")).alias("_from"), bin_of(F.col("last_key")).alias("_to"))
+    mine = ranged.withColumn("_bin", F.explode(F.sequence("_from", "_to")))
+    below = mine.select((F.col("level") - 1).alias("level"), "_bin", F.col("id").alias("next_id"), F.col("first_key").alias("_first"), F.col("last_key").alias("_last"), F.col("_from").alias("_next_from"))
+    met = (F.col("_last") >= F.col("first_key")) & (F.col("_first") <= F.col("last_key")) & (F.col("_bin") == F.greatest("_from", "_next_from"))
+    return mine.join(below, ["level", "_bin"]).filter(met).select("level", "id", "next_id")
 
 
 def covering(files: DataFrame, level: int, first: Column, last: Column) -> DataFrame:
@@ -73,8 +97,9 @@ def rotation_pick(files: DataFrame, cursors: DataFrame) -> DataFrame:
     key = F.col("compact_key")
     inside = (F.col("first_key") <= key) & (key < F.col("_next"))
     rank = F.when(key.isNull(), F.col("_nth")).when(inside, F.lit(0)).when(F.col("_nth") == F.col("_n"), F.lit(1)).otherwise(F.lit(2))
-    best = F.row_number().over(Window.partitionBy("level", "compact_key").orderBy(rank, "_nth"))
-    return cursors.join(metadata(spans), "level").withColumn("_best", best).filter("_best = 1").select("level", "compact_key", "id")
+    # Cursors are few, one a level or so: each is met with its level's runs, and the best run comes out of a partial aggregate.
+    met = spans.join(F.broadcast(cursors), "level") if cursors.count() <= BROADCAST_FILES else spans.join(cursors, "level")
+    return met.groupBy("level", "compact_key").agg(F.min(F.struct(rank.alias("r"), "_nth", "id")).alias("_best")).select("level", "compact_key", "_best.id")
 
 
 def rotation_replay(actions: DataFrame) -> DataFrame:

@@ -31,8 +31,9 @@ def inputs_level0(files: DataFrame) -> DataFrame:
 def inputs_level(files: DataFrame, cursors: DataFrame) -> DataFrame:
     """level, id, victim_level: each cursor's run and the next level's runs that meet it, for levels from 1 on."""
     picked = manifest.rotation_pick(files, cursors.filter("level >= 1")).join(files, ["level", "id"]).select("level", "id", "first_key", "last_key")
-    below = manifest.metadata(files.select(F.col("level").alias("_level"), F.col("id").alias("_id"), F.col("first_key").alias("_first"), F.col("last_key").alias("_last")))
-    met = picked.join(below, (F.col("_level") == F.col("level") + 1) & (F.col("_last") >= F.col("first_key")) & (F.col("_first") <= F.col("last_key")))
+    below = files.select(F.col("level").alias("_level"), F.col("id").alias("_id"), F.col("first_key").alias("_first"), F.col("last_key").alias("_last"))
+    # One run for each cursor.
+    met = below.join(manifest.metadata(picked), (F.col("_level") == F.col("level") + 1) & (F.col("_last") >= F.col("first_key")) & (F.col("_first") <= F.col("last_key")))
     return picked.select("level", "id", F.col("level").alias("victim_level")).unionByName(
         met.select(F.col("_level").alias("level"), F.col("_id").alias("id"), F.col("level").alias("victim_level"))
     )

@@ -17,12 +17,14 @@ from .functions import bloom
 from .functions.keys import entry_bytes, padded
 from .operators import log, manifest, merge, runs
 from .plans import compaction
+from .sources.storage import scratch
+from .sources.store import Store
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 LIMIT_SPLIT = 65_536
-LIMIT_FLUSH = 1_024
+LIMIT_FLUSH = 512
 SMALL = StoreConfig(flush_bytes=LIMIT_FLUSH, level_unit=100_000)
 
 _BASE = """
@@ -173,11 +175,23 @@ def runs_for_key(spark, sf_dir):
     return manifest.runs_for_keys(files(spark, sf_dir), changelog(spark, sf_dir).select("key"))
 
 
-@_query("bloom_probe", "SELECT DISTINCT key, TRUE AS maybe FROM cl WHERE NOT is_tombstone")
+@_query(
+    "bloom_probe",
+    """, ins AS (SELECT DISTINCT key FROM cl WHERE NOT is_tombstone), cust AS (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer)
+    SELECT (SELECT count(*) FROM ins) AS inserted, (SELECT count(*) FROM cust WHERE key NOT IN (SELECT key FROM ins)) AS others, CAST(0 AS BIGINT) AS false_negatives, TRUE AS few_false_positives""",
+)
 def bloom_probe(spark, sf_dir):
-    """Every inserted key passes the filter built over the inserted keys; how many others do is a matter of its rate."""
+    """The filter over the inserted keys, asked for these and for all customers' keys: none of the former is denied, and of the
+    others at most twice the filter's rate pass."""
     puts, *built = inserted_keys_filter(spark, sf_dir)
-    return bloom.probe(puts, "key", *built)
+    asked = table(spark, sf_dir, "customer").select(padded(F.col("c_custkey")).alias("key")).unionByName(puts)
+    probed = bloom.probe(asked, "key", *built).join(puts.withColumn("_in", F.lit(True)), "key", "left")
+    inside, passed = F.col("_in").isNotNull(), F.col("maybe")
+    counts = probed.agg(
+        F.count_if(inside).alias("inserted"), F.count_if(~inside).alias("others"),
+        F.count_if(inside & ~passed).alias("false_negatives"), F.count_if(~inside & passed).alias("_passed"),
+    )
+    return counts.withColumn("few_false_positives", F.col("_passed") <= F.col("others") * (2 * StoreConfig().bloom_rate)).drop("_passed")
 
 
 def inserted_keys_filter(spark, sf_dir):
@@ -231,7 +245,16 @@ def flush_plan(spark, sf_dir):
     return latest.groupBy((F.col("user_id") % 8).alias("shard")).agg(F.sum("bytes").alias("bytes")).withColumn("flush", F.col("bytes") >= LIMIT_FLUSH)
 
 
-@_query("flush_boundaries")
+@_query(
+    "flush_boundaries",
+    f""", d AS (SELECT user_id % 8 AS shard, seq, key, bytes, row_number() OVER (PARTITION BY user_id % 8 ORDER BY seq) AS i FROM sz),
+    r AS (SELECT shard, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS flush, CAST(0 AS BIGINT) AS next_flush, CAST([] AS STRUCT(k VARCHAR, b BIGINT)[]) AS held FROM (SELECT DISTINCT shard FROM d)
+      UNION ALL SELECT shard, i, seq, next_flush, CASE WHEN used >= {LIMIT_FLUSH} THEN next_flush + 1 ELSE next_flush END, CASE WHEN used >= {LIMIT_FLUSH} THEN [] ELSE now END
+      FROM (SELECT *, list_sum(list_transform(now, lambda x: x.b)) AS used
+            FROM (SELECT d.shard, d.i, d.seq, r.next_flush, list_append(list_filter(r.held, lambda x: x.k <> d.key), {{'k': d.key, 'b': d.bytes}}) AS now FROM r JOIN d ON d.shard = r.shard AND d.i = r.i + 1)))
+    SELECT shard, flush, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS changes FROM r WHERE i > 0 GROUP BY shard, flush""",
+    recursive=True,
+)
 def flush_boundaries(spark, sf_dir):
     """Exact flush points of eight stores fed by the changelog; a fold with a memtable as state."""
     rows = changelog(spark, sf_dir).withColumn("shard", F.col("user_id") % 8).withColumn("bytes", entry_bytes(F.col("key"), F.col("value"), F.col("is_tombstone")))
@@ -271,16 +294,16 @@ def purge_tombstones(spark, sf_dir):
 
 @_query(
     "compact_split",
-    f""", d AS (SELECT lang, doc_id, CAST(strlen(coalesce(text, '')) + 28 AS BIGINT) AS b, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents WHERE lang IS NOT NULL),
+    f""", d AS (SELECT lang, doc_id, CAST(strlen(coalesce(text, '')) + 28 AS BIGINT) AS b, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM (SELECT coalesce(lang, '') AS lang, doc_id, text FROM documents)),
     r(lang, doc_id, i, file, used) AS (SELECT lang, doc_id, i, CAST(0 AS BIGINT), b FROM d WHERE i = 1
       UNION ALL SELECT d.lang, d.doc_id, d.i, CASE WHEN used + b > {LIMIT_SPLIT} THEN file + 1 ELSE file END, CASE WHEN used + b > {LIMIT_SPLIT} THEN b ELSE used + b END FROM r JOIN d ON d.lang = r.lang AND d.i = r.i + 1)
     SELECT lang, file, count(*) AS n_rows, min(doc_id) AS first_id, max(doc_id) AS last_id FROM r GROUP BY lang, file""",
     recursive=True,
 )
 def compact_split(spark, sf_dir):
-    """File boundaries of one compaction per language."""
-    sizes = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select(
-        F.col("lang").alias("grp"), F.col("doc_id").alias("ord"), (F.octet_length(F.coalesce("text", F.lit(""))) + 28).cast("long").alias("bytes")
+    """File boundaries of one compaction per language; documents without one are a group of their own."""
+    sizes = table(spark, sf_dir, "documents").select(
+        F.coalesce("lang", F.lit("")).alias("grp"), F.col("doc_id").alias("ord"), (F.octet_length(F.coalesce("text", F.lit(""))) + 28).cast("long").alias("bytes")
     )
     split = runs.split_files(sizes, LIMIT_SPLIT)
     return split.groupBy(F.col("grp").alias("lang"), "file").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ord").alias("first_id"), F.max("ord").alias("last_id"))
@@ -332,7 +355,18 @@ def rotation_next(spark, sf_dir):
     return manifest.rotation_next(files(spark, sf_dir))
 
 
-@_query("rotation_replay")
+@_query(
+    "rotation_replay",
+    """, d AS (SELECT level, seq, action, id, first_key, row_number() OVER (PARTITION BY level ORDER BY seq) AS i FROM act WHERE action IN ('add', 'remove', 'new_id')),
+    r AS (SELECT level, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS taken, CAST(NULL AS VARCHAR) AS compact_key, CAST([] AS STRUCT(k VARCHAR, id BIGINT)[]) AS live FROM (SELECT DISTINCT level FROM d)
+      UNION ALL SELECT level, i, seq, CASE WHEN due THEN live[place].id END, CASE WHEN due THEN live[place % len(live) + 1].k ELSE compact_key END,
+             CASE action WHEN 'new_id' THEN live WHEN 'add' THEN list_sort(list_append(others, {'k': first_key, 'id': id})) ELSE others END
+      FROM (SELECT d.level, d.i, d.seq, d.action, d.id, d.first_key, r.compact_key, r.live, d.action = 'new_id' AND len(r.live) > 0 AS due, list_filter(r.live, lambda x: x.id <> d.id) AS others,
+                   CASE WHEN r.compact_key IS NULL THEN 1 WHEN len(list_filter(r.live, lambda x: x.k <= r.compact_key)) > 0 THEN len(list_filter(r.live, lambda x: x.k <= r.compact_key)) ELSE len(r.live) END AS place
+            FROM r JOIN d ON d.level = r.level AND d.i = r.i + 1))
+    SELECT seq, level, taken AS id, compact_key FROM r WHERE taken IS NOT NULL""",
+    recursive=True,
+)
 def rotation_replay(spark, sf_dir):
     """The cursor's way through a log whose id allocations each begin a compaction of their level."""
     rows = actions(spark, sf_dir)
@@ -418,9 +452,16 @@ def wal_replay(spark, sf_dir):
     return log.replay(wal(spark, sf_dir)).select("seq", "key", "value", "op", "batch")
 
 
-@_query("wal_torn_tail", "SELECT batch, count(*) AS n, max(seq) AS last_seq FROM (SELECT CAST(batch AS BIGINT) AS batch, seq FROM wc) GROUP BY batch")
+@_query(
+    "wal_torn_tail",
+    """, cut AS (SELECT k, (SELECT max(seq) FROM wal) * k // 8 AS cut FROM range(1, 9) AS g(k)), lc AS (SELECT cut, (SELECT max(seq) FROM wal WHERE op = 'commit' AND seq < cut) AS last_commit FROM cut)
+    SELECT cut, last_commit, count(*) FILTER (op = 'commit' AND seq <= last_commit) AS batches, count(*) FILTER (op <> 'commit' AND seq < last_commit) AS records FROM lc, wal GROUP BY cut, last_commit""",
+)
 def wal_torn_tail(spark, sf_dir):
-    return log.replay(wal(spark, sf_dir)).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
+    """What survives of the log when it is torn at each eighth of its length."""
+    rows = wal(spark, sf_dir)
+    end = log.scalar(rows.agg(F.max("seq"))) or 0
+    return log.torn_tails(rows, [end * k // 8 for k in range(1, 9)])
 
 
 @_query("batch_commit", "SELECT CAST(batch AS BIGINT) AS batch, count(*) FILTER (op <> 'commit') AS changes, min(seq) AS first_seq, max(seq) AS last_seq, bool_or(op = 'commit') AS committed FROM wb GROUP BY 1")
@@ -449,3 +490,50 @@ def crash_recover(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     """The snapshot kept by a stream over the changelog that is run to its end."""
     return ingest.replayed_snapshot(spark, f"{sf_dir}/events.parquet").select("key", "value", "seq")
+
+
+# Through a store
+
+#: Small enough for the events to be flushed and compacted on their way in.
+_TINY = StoreConfig(flush_bytes=512, run_bytes=8_192, level0_runs=2, level_base=2, level_unit=8_192)
+
+
+def _loaded_store(spark, sf_dir) -> Store:
+    """A store that took the events in four batches, opened anew."""
+    rows = changelog(spark, sf_dir).select("seq", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "is_tombstone")
+    end = (log.scalar(rows.agg(F.max("seq"))) or 0) + 1
+    root = scratch(spark, "store")
+    store = Store(spark, root, _TINY)
+    for k in range(4):
+        store.write_batch(rows.filter((F.col("seq") >= end * k // 4) & (F.col("seq") < end * (k + 1) // 4)), "events", k)
+    store.write_batch(rows, "events", 3)  # a micro-batch that comes again changes nothing
+    return Store(spark, root, _TINY)
+
+
+@_query("store_snapshot", "SELECT key, value FROM latest WHERE NOT is_tombstone")
+def store_snapshot(spark, sf_dir):
+    """The events' live rows after batches, flushes, compactions and reopening."""
+    return _loaded_store(spark, sf_dir).snapshot().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@_query(
+    "store_state",
+    """SELECT CAST(4 AS BIGINT) AS batches, CAST(3 AS BIGINT) AS last_source_batch, (SELECT count(*) FROM latest WHERE NOT is_tombstone) AS live_rows, (SELECT count(*) FROM latest WHERE NOT is_tombstone AND key BETWEEN '00000003' AND '00000077') AS scanned_rows,
+    TRUE AS disjoint, TRUE AS within_limits, TRUE AS ids_are_new, TRUE AS files_are_live, TRUE AS refuses_a_used_version""",
+)
+def store_state(spark, sf_dir):
+    """What has to hold of a store's levels, ids and files, whatever its runs are; and its counts."""
+    store = _loaded_store(spark, sf_dir)
+    m = store.manifest
+    deep = [m.level(n) for n in range(1, m.max_level() + 1)]
+    placed = {f"runs/{level}/{name}" for level in store.files.names("runs") for name in store.files.names(f"runs/{level}")}
+    facts = (
+        m.next_batch, m.sources["events"], store.snapshot().count(), store.scan(b"00000003", b"00000077").count(),
+        all(a.last_key < b.first_key for level in deep for a, b in zip(level, level[1:])),
+        len({r.id for r in m.level(0)}) < _TINY.level0_runs and all(sum(r.bytes for r in level) <= _TINY.level_limit(n) for n, level in enumerate(deep, 1)),
+        all(r.id < m.next_ids[str(r.level)] for r in m.runs),
+        {r.path for r in m.runs} <= placed,
+        not store.files.create(f"manifest/{m.version}.json", "{}"),
+    )
+    names = "batches long, last_source_batch long, live_rows long, scanned_rows long, disjoint boolean, within_limits boolean, ids_are_new boolean, files_are_live boolean, refuses_a_used_version boolean"
+    return spark.createDataFrame([facts], names)

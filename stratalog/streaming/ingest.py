@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import padded
-from ..sources.storage import scratch
+from ..operators.merge import live, newest_aggregate
+from ..sources.storage import Storage, scratch
 
 
 def latest_by_key(stream: DataFrame) -> DataFrame:
@@ -28,7 +29,10 @@ def append_to_store(stream: DataFrame, store, checkpoint: str):
 
 
 def replayed_snapshot(spark: SparkSession, events_path: str) -> DataFrame:
-    """The live rows that a stream over an events table ends with."""
+    """The live rows that a stream over an events table ends with.
+
+    Each micro-batch writes the keys that it changed, and a batch that is run again writes the same folder.
+    """
     source = spark.read.parquet(events_path)
     folder, _, name = events_path.rpartition("/")
     reader = spark.readStream.schema(source.schema)
@@ -37,16 +41,16 @@ def replayed_snapshot(spark: SparkSession, events_path: str) -> DataFrame:
     deleted = F.col("event_type") == "error"
     changes = stream.select(F.col("event_id").alias("seq"), padded(F.col("user_id")).alias("key"), F.when(~deleted, F.col("props")).alias("value"), deleted.alias("is_tombstone"))
     place = scratch(spark, "stream")
-    state: list[str] = []
+    latest = latest_by_key(changes)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        path = f"{place}/state-{batch_id}"
-        batch.write.mode("overwrite").parquet(path)
-        state[:] = [path]
+        batch.write.mode("overwrite").parquet(f"{place}/updates/batch={batch_id}")
 
-    query = latest_by_key(changes).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    query = latest.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(state[0]).filter("NOT is_tombstone")
+    if not Storage(spark, place).exists("updates"):
+        return spark.createDataFrame([], latest.schema)
+    return live(newest_aggregate(spark.read.schema(latest.schema).parquet(f"{place}/updates/batch=*")))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

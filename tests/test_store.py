@@ -319,3 +319,27 @@ def test_torn_tails(spark):
         last = max((i for i in range(min(cut, 9)) if ops[i] == "commit"), default=None)
         upto = -1 if last is None else last
         assert got[cut] == (last, sum(o == "commit" for o in ops[: upto + 1]), sum(o != "commit" for o in ops[: upto + 1]))
+
+
+@pytest.mark.parametrize("most", [1, 5, 1024])
+def test_range_joins_match_all_pairs(spark, monkeypatch, most):
+    rng = random.Random(most)
+    word = lambda: "".join(rng.choices("abcd", k=rng.randrange(0, 4)))
+    ranges = [tuple(sorted((word(), word()))) for _ in range(150)]
+    rows = [(rng.randrange(3), i, a, z, 1, 1) for i, (a, z) in enumerate(ranges)]
+    files = spark.createDataFrame(rows, "level long, id long, first_key string, last_key string, n_rows long, bytes long")
+    real = manifest.bins
+    monkeypatch.setattr(manifest, "bins", lambda f: real(f, most))
+    got = sorted(map(tuple, manifest.overlaps(files).collect()))
+    assert got == sorted((a[0], a[1], b[1]) for a in rows for b in rows if b[0] == a[0] + 1 and b[3] >= a[2] and b[2] <= a[3])
+    asked = sorted({word() for _ in range(60)})
+    keys = spark.createDataFrame([(k,) for k in asked + asked[:3]] + [(None,)], "key string")
+    got = sorted(map(tuple, manifest.runs_for_keys(files, keys).collect()))
+    assert got == sorted((k, r[0], r[1]) for k in asked for r in rows if r[2] <= k <= r[3])
+
+
+def test_no_range_join_compares_all_pairs(spark):
+    files = spark.createDataFrame([(1, 1, "a", "b", 1, 1)], "level long, id long, first_key string, last_key string, n_rows long, bytes long")
+    for df in (manifest.overlaps(files), manifest.runs_for_keys(files, spark.createDataFrame([("a",)], "key string"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
