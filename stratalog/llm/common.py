@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from itertools import count
@@ -10,30 +9,15 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go when the session names no shared folder (local runs and tests).
-LOCAL_FALLBACK = "/tmp/checkpoints"
-
+from ..sources import storage
 
 #: Keys that an ``attach`` treats as hot at most: those of at least this share of all rows, whose table is broadcast.
 HOT_KEYS = 10_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, a local one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get().rstrip("/")
-        path = LOCAL_FALLBACK
-        spark.sparkContext.setCheckpointDir(path)
-        return shared_dir(spark)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier call has returned."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return storage.scratch(spark, name)
 
 
 #: Paths of intermediate tables that were written and not deleted yet, in the order of writing.
@@ -74,6 +58,11 @@ def remove_tables(spark: SparkSession, since: int = 0, but: Sequence[DataFrame]
             _PATHS.remove(path)
 
 
+def tables_so_far() -> int:
+    """For remove_tables: how many intermediate tables there are now."""
+    return len(_PATHS)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Deletes what the block writes by ``written``, but the tables put into the yielded list."""
