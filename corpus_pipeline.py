@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm import exact_dedup, mixing, pieces, rules, simhash
-from stratalog.llm.common import table, written
+from stratalog.llm.common import remove_tables, table, tables_so_far, written
 from stratalog.llm.queries import tokenizer_path
 
 
@@ -53,9 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, "pipeline-stage")
-    return docs
+    """The last stage's rows, which read the table of the stage before; all other intermediate tables are gone by then."""
+    docs, since = table(spark, sf_dir, "documents"), tables_so_far()
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-stage")
+        remove_tables(spark, since, [docs])
+    return STAGES[-1][1](spark, docs, sf_dir)
