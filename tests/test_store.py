@@ -126,19 +126,32 @@ def test_batch_numbers_do_not_depend_on_blocks(spark):
     assert a == b and a[99] == 20
 
 
-def test_split_matches_the_greedy_fold(spark):
+@pytest.mark.parametrize("sizes", [[1, 5, 30, 120], [7], [0, 50, 100], [101], [0]])
+def test_split_matches_the_greedy_fold(spark, sizes):
     rng = random.Random(1)
-    rows = [(g, i, rng.choice([1, 5, 30, 120])) for g in "ab" for i in range(300)]
-    want, used, file, last = {}, 0, 0, None
-    for g, i, b in rows:
-        if g != last:
-            used, file, last = 0, 0, g
-        elif used + b > 100:
-            used, file = 0, file + 1
-        used += b
-        want[g, i] = file
-    got = runs.split_files(spark.createDataFrame(rows, "grp string, ord long, bytes long"), 100)
-    assert {(r["grp"], r["ord"]): r["file"] for r in got.collect()} == want
+    rows = [(g, i, rng.choice(sizes)) for g, n in (("a", 900), ("b", 3), (None, 500)) for i in range(n)] + [("a", 950 + i, 40) for i in range(3)]
+    want = {}
+    for g in ("a", "b", None):
+        used, file = None, -1
+        for _, i, b in sorted(r for r in rows if r[0] == g):
+            if used is None or used + b > 100:
+                used, file = 0, file + 1
+            used += b
+            want[g, i] = file
+    asked = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}  # many short parts
+    before = {k: spark.conf.get(k) for k in asked}
+    for conf in (asked, before):
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = runs.split_files(spark.createDataFrame(rows, "grp string, ord long, bytes long").repartition(5), 100)
+        assert {(r["grp"], r["ord"]): r["file"] for r in got.collect()} == want
+
+
+def test_split_of_numbered_groups_ties_and_nothing(spark):
+    rows = [(g, o, 60) for g in (1, None, 2) for o in (5, 5, 5, 6)]
+    got = runs.split_files(spark.createDataFrame(rows, "grp long, ord long, bytes long"), 120).groupBy("grp", "file").count().collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((g, f, 2)) for g in (1, None, 2) for f in (0, 1))
+    assert runs.split_files(spark.createDataFrame([], "grp long, ord long, bytes long"), 120).isEmpty()
 
 
 def test_big_endian_keys_sort_like_numbers(spark):
