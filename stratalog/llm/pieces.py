@@ -73,8 +73,10 @@ class PrefixTable:
                 self.halves[i] = (self.rank[parts[0]][1], self.rank[parts[1]][1])
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        #: What an id decodes to on its own; None for bytes, controls and the unknown id.
+        #: What an id decodes to on its own, as an ASCII byte does among any others; None for other bytes, controls and the unknown id.
         self.plain = [None if i in self.byte_of or i in self.control or i == self.unknown else t for i, t in enumerate(self.text)]
+        for b in range(128):
+            self.plain[self.bytes[b]] = chr(b)
         self.memo: dict[str, tuple[int, ...]] = {}
         #: Ids as decimal text.
         self.digits = [str(i) for i in range(n)]
@@ -175,15 +177,18 @@ class PrefixTable:
         return known
 
     def encode(self, text: str) -> list[int]:
-        known = self.memo.get
-        return list(chain.from_iterable(known(c) or self.coded(c) for c in self.chunks(text)))
+        chunks = self.chunks(text)
+        found = list(map(self.memo.get, chunks))
+        if None in found:
+            found = [ids or self.coded(c) for c, ids in zip(chunks, found)]
+        return list(chain.from_iterable(found))
 
     def raw_decode(self, ids: list[int]) -> str:
         """The text of ids with the dummy prefix still on it."""
-        plain = self.plain
-        parts = [plain[i] for i in ids]
-        if None not in parts:
-            return "".join(parts)
+        try:
+            return "".join(map(self.plain.__getitem__, ids))
+        except TypeError:  # bytes of longer characters, controls or the unknown id
+            pass
         out: list[str] = []
         run = bytearray()
         for i in ids:
