@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import scratch, shuffle_partitions, written
 from .textstats import shares, with_stats
 
 FEATURES = 256
@@ -76,6 +76,11 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int
 
     Without any labelled row every score is 0.5; with rows of one fold only, those calibrate too.
     """
+    with scratch(stats.sparkSession):
+        return _fit(stats, labels, features, seed)
+
+
+def _fit(stats: DataFrame, labels: DataFrame, features: int, seed: int) -> Model:
     names = list(shares())
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("quality") == 1).cast("double").alias("_y"))
     rows = written(stats.join(known, "doc_id").withColumn("_fold", fold(F.col("doc_id"))).filter("_fold <> 2").select("_fold", "_y", *names), "classifier-rows")

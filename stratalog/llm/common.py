@@ -15,15 +15,18 @@ from ..sources import storage
 HOT_KEYS = 10_000
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no earlier call has returned."""
-    return storage.scratch(spark, name)
-
-
 #: Paths of intermediate tables that were written and not deleted yet, in the order of writing.
 _PATHS: list[str] = []
 
 
+def new_path(spark: SparkSession, name: str, table: bool = False) -> str:
+    """A path in the shared folder that no earlier call has returned. table: it counts as an intermediate table's."""
+    path = storage.scratch(spark, name)
+    if table:
+        _PATHS.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: the lineage ends there.
 
@@ -31,8 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     enclosing ``scratch`` deletes them.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    _PATHS.append(path)
+    path = new_path(spark, name, table=True)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path

@@ -364,4 +364,5 @@ def read_ids(documents: DataFrame) -> DataFrame:
 
 
 def new_folder(spark) -> str:
-    return new_path(spark, "ids")
+    """A folder for id files, which ``remove_tables`` deletes like an intermediate table."""
+    return new_path(spark, "ids", table=True)
