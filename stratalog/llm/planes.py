@@ -35,8 +35,8 @@ from .common import new_path, text_or_empty, written
 MAGIC = b"BITPLAN1"
 BLOCK = 65_536
 PLANE_BITS = 8
-#: Pre-tokens that the memo holds before it is emptied (some 100 MB).
-MEMO = 500_000
+#: Pre-tokens that the memo holds before it is emptied (some 150 MB).
+MEMO = 700_000
 #: Bytes of text that are encoded together.
 SLICE = 8 << 20
 
@@ -144,7 +144,8 @@ _RANGE = [chr(i) for i in range(_LAST + 1)]
 _ODD = {"\x1c", "\x1d", "\x1e", "\x1f", "\u0130"}
 _L, _N = ("".join(map(re.escape, (c for c in _RANGE if unicodedata.category(c)[0] == k))) for k in "LN")
 _S = "".join(map(re.escape, (c for c in _RANGE if c.isspace() and c not in _ODD)))
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}{_S}]+")
+#: Pre-tokens, and the line ends between parts.
+_LINED = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}{_S}]+")
 _UNSAFE = re.compile("[" + "".join(map(re.escape, sorted(_ODD))) + f"]|[^\x00-{chr(_LAST)}]")
 
 
@@ -201,25 +202,36 @@ class Encoder:
         else:
             self.memo.update(zip(words, self.whole(words)))
 
-    def coded(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part between white space."""
+    def coded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts between white space, one after the other, and how many each has."""
+        if not parts:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        words: list[list[str]] = [_WORDS.findall(p.lower()) for p in parts]
-        out: dict[int, bytes] = {}
-        if _UNSAFE.search(" ".join(parts)):
-            odd = [i for i, p in enumerate(parts) if _UNSAFE.search(p)]
+        odd = [i for i, p in enumerate(parts) if _UNSAFE.search(p)] if _UNSAFE.search(" ".join(parts)) else []
+        plain = parts.copy()
+        for i in odd:
+            plain[i] = ""
+        # One list of pre-tokens with a line end between parts, so that no list a part is made.
+        words = _LINED.findall("\n".join(plain).lower())
+        memo["\n"] = b""
+        found = list(map(memo.get, words))
+        if None in found:
+            new = list({w for w, ids in zip(words, found) if ids is None})
+            for i in range(0, len(new), 20_000):
+                self.learn(new[i : i + 20_000])
+            found = list(map(memo.__getitem__, words))
+        pool, lengths = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        breaks = np.flatnonzero(lengths == 0)
+        ends = np.r_[0, np.cumsum(lengths)]
+        bounds = np.r_[0, ends[breaks], ends[-1]]
+        if odd:
+            pieces = np.split(pool, bounds[1:-1])
             for i, ids in zip(odd, self.whole([parts[i] for i in odd])):
-                out[i], words[i] = ids, []
-        new = list({w for ws in words for w in ws if w not in memo})
-        for i in range(0, len(new), 20_000):
-            self.learn(new[i : i + 20_000])
-        get = memo.__getitem__
-        coded = [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in words]
-        for i, ids in out.items():
-            coded[i] = ids
-        return coded
+                pieces[i] = np.frombuffer(ids, "<u4")
+            return np.concatenate(pieces), np.array([len(p) for p in pieces])
+        return pool, np.diff(bounds)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has. There are no nulls."""
@@ -229,9 +241,7 @@ class Encoder:
         plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
         split = pc.ascii_split_whitespace(plain)
         numbered = split.flatten().dictionary_encode()
-        coded = self.coded(numbered.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(coded), "<u4")
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        pool, sizes = self.coded(numbered.dictionary.to_pylist())
         which = numbered.indices.to_numpy()
         taken = sizes[which]
         ends = np.cumsum(taken)
