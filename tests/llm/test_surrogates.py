@@ -46,8 +46,8 @@ def test_formats_coreference_and_distinctness(spark):
 
 
 def test_keys_differ_and_runs_repeat(spark):
-    assert replaced(spark, "k") == replaced(spark, "k")
-    assert all(replaced(spark, "other")[i][0] != replaced(spark, "k")[i][0] for i in (1, 2, 3, 4, 6))
+    first, again, other = replaced(spark, "k"), replaced(spark, "k"), replaced(spark, "other")
+    assert first == again and all(other[i][0] != first[i][0] for i in (1, 2, 3, 4, 6))
 
 
 def test_clashes_are_drawn_again(spark):
