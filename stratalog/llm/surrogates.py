@@ -6,7 +6,7 @@ canonical form: letters stay letters of their case, digits digits, separators st
 and a card's first digit stay; card numbers get a valid check digit; names keep script and gender. The same entity
 gets the same surrogate in every document and spelling. Distinct entities get distinct ones: surrogates that clash with
 each other or with an entity of the corpus are drawn again, in rounds over the clashing ones, until none is left. Each
-attempt beyond GROW draws longer values, as a local part of few characters does from the first on, so the supply
+attempt from GROW on draws longer values, as a local part of few characters does from the first on, so the supply
 grows by a factor of 100 or more a round whatever the format, and rounds end.
 
 The texts are matched once, in the rows that a cheap test lets through. Matches are marked in the text, which is then cut at
