@@ -177,6 +177,26 @@ def test_rotation_and_order_on_empty_tables(spark):
     assert manifest.rotation_next(none).isEmpty() and manifest.overlaps(none).isEmpty() and manifest.order(none).isEmpty()
 
 
+def test_a_merge_that_deletes_everything_leaves_no_run(spark, tmp_path):
+    store = Store(spark, str(tmp_path), SMALL)
+    keys = [b"%d" % i for i in range(3)]
+    for deleted in (False, True):
+        store.write_batch(batch(spark, [(i, bytearray(k), None if deleted else bytearray(b"v"), deleted) for i, k in enumerate(keys)]))
+        store.flush()
+    store.compact(0)
+    assert store.manifest.runs == () and store.snapshot().isEmpty() and store.get(keys[0]) is None
+    store.insert(keys[0], b"w")
+    assert content(store) == content(Store(spark, str(tmp_path), SMALL)) == {keys[0]: b"w"}
+
+
+def test_a_change_without_a_key_is_an_error_and_commits_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    with pytest.raises(Exception, match="a change needs a key"):
+        store.write_batch(batch(spark, [(1, bytearray(b"a"), bytearray(b"1"), False), (2, None, bytearray(b"2"), False)]))
+    store.write_batch(batch(spark, []))
+    assert content(store) == content(Store(spark, str(tmp_path))) == {}
+
+
 def numbered(n, size=40, first=0):
     return [(i, bytearray(b"k%06d" % (first + i)), bytearray(b"v" * size), False) for i in range(n)]
 
