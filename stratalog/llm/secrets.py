@@ -1,7 +1,8 @@
 """Secret scans over every encoding layer of a text.
 
 A worklist, depth first, starts with the text itself. Each layer is scanned, then unwrapped: URL escapes, Unicode
-escapes and character references each give the whole layer again with those sequences decoded; every stretch
+escapes and character references each give the layer again with those sequences decoded, as far as it is changed (cut at plain
+words, over which nothing goes); every stretch
 of readable text that a base64 run holds at any alignment, plainly or in a gzip, zlib or Zstandard stream,
 gives a layer of its own. Streams are read over all their members, in windows. A run is taken by itself and joined over line ends, also escaped ones. New layers go on the worklist until none is left. A layer of the same content and spans as one
 seen before is not entered again, nor one of the content of a layer that it came from, which ends cycles (a stream
@@ -17,6 +18,7 @@ import html
 import itertools
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Generator, Iterable, Iterator
 
 import numpy as np
@@ -56,6 +58,8 @@ _READABLE = re.compile(
     rb"(?:[\x09-\x0d\x20-\x7e]|\xc2[\xa0-\xbf]|[\xc3-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
     rb"|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}+"
 )
+#: A plain word between spaces, before another: a place that no match, run or escape goes over, whatever is decoded beside it.
+_CUT = re.compile(r"(?<=\x20)[A-Za-z0-9]{2,}+\x20(?=[A-Za-z0-9])")
 _URLSAFE = str.maketrans("-_", "+/")
 
 Span = tuple[str, int, int]
@@ -73,27 +77,33 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _rewritten(text: str, starts: np.ndarray, ends: np.ndarray, pattern: re.Pattern, decode) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """The layer with the pattern's matches decoded; decode gives pairs of a character and how many source characters it took."""
-    parts, s, e, at, changed = [], [], [], 0, False
-    for m in pattern.finditer(text):
-        got = decode(m[0])
-        if got is None:
-            continue
-        changed = True
-        parts.append(text[at : m.start()])
-        s.append(starts[at : m.start()])
-        e.append(ends[at : m.start()])
-        pos = m.start()
-        for char, taken in got:
-            parts.append(char)
-            s.append(np.full(len(char), starts[pos]))
-            e.append(np.full(len(char), ends[pos + taken - 1]))
-            pos += taken
-        at = m.end()
-    if not changed:
-        return None
-    return "".join([*parts, text[at:]]), np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]])
+def _rewritten(text: str, starts: np.ndarray | None, ends: np.ndarray | None, pattern: re.Pattern, decode) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """The pieces of a layer that hold matches, with these decoded; decode gives pairs of a character and how many source characters it took.
+
+    A piece without a match is as it was in the layer, where it has been scanned: no match, escape or run goes over a cut.
+    """
+    decoded = [(m, got) for m in pattern.finditer(text) if (got := decode(m[0])) is not None]
+    if not decoded:
+        return []
+    cuts, pieces = [0, *(m.end() for m in _CUT.finditer(text)), len(text)], []
+    for i, matches in itertools.groupby(decoded, lambda d: bisect_right(cuts, d[0].start())):
+        low, high = cuts[i - 1], cuts[i]
+        first = np.arange(low, high, dtype=np.int32) if starts is None else starts[low:high]
+        last = first + 1 if ends is None else ends[low:high]
+        parts, s, e, at = [], [], [], low
+        for m, got in matches:
+            pos = m.start()
+            parts.append(text[at:pos])
+            s.append(first[at - low : pos - low])
+            e.append(last[at - low : pos - low])
+            for char, taken in got:
+                parts.append(char)
+                s.append(np.full(len(char), first[pos - low]))
+                e.append(np.full(len(char), last[pos - low + taken - 1]))
+                pos += taken
+            at = pos
+        pieces.append(("".join([*parts, text[at:high]]), np.concatenate([*s, first[at - low :]]), np.concatenate([*e, last[at - low :]])))
+    return pieces
 
 
 def _url(run: str) -> list[tuple[str, int]] | None:
@@ -289,14 +299,6 @@ def _runs(layer: str) -> Iterator[tuple[np.ndarray, str, bool]]:
 
 def _inner(layer: str, starts: np.ndarray | None, ends: np.ndarray | None) -> Iterator[tuple[str, np.ndarray, np.ndarray, str, bool]]:
     """The layers inside a layer, with their spans and names, and whether a stream was not read to its end."""
-    origins = starts, ends
-    for mark, name, pattern, decode in (("%", "url", _URL, _url), ("\\&", "unicode", _UNICODE, _unicode)):
-        if any(c in layer for c in mark) and pattern.search(layer):
-            if starts is None:
-                starts, ends = np.arange(len(layer)), np.arange(1, len(layer) + 1)
-            if got := _rewritten(layer, starts, ends, pattern, decode):
-                yield *got, name, False
-    starts, ends = origins
     for at, body, lines in _runs(layer):
         for inner, s, e, name, cut in _from_base64(body, lines):
             size = len(inner)
@@ -305,37 +307,58 @@ def _inner(layer: str, starts: np.ndarray | None, ends: np.ndarray | None) -> It
             s, e = at[s], at[e - 1]
             s, e = (s, e + 1) if starts is None else (starts[s], ends[e])
             yield inner, *((np.broadcast_to(s, size), np.broadcast_to(e, size)) if whole else (s, e)), name, cut
+    kinds = [k for k in _ESCAPES if any(c in layer for c in k[0]) and k[2].search(layer)]
+    while kinds:
+        _, name, pattern, decode = kinds.pop(0)
+        pieces = _rewritten(layer, starts, ends, pattern, decode)[::-1]
+        if not kinds:  # a chain of escapes may be very long: its layers are not all held
+            layer = starts = ends = at = s = e = None
+        while pieces:
+            yield *pieces.pop(), name, False
+
+
+#: Marks, name, pattern and decoder of what rewrites a layer.
+_ESCAPES = (("%", "url", _URL, _url), ("\\&", "unicode", _UNICODE, _unicode))
+_REWRITES = {name for _, name, *_ in _ESCAPES}
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], list[str], int]:
-    """Base spans; those that deeper layers add; the chains of the layers entered; how many streams were not read to their end."""
+    """Base spans; those that deeper layers add; the distinct chains of the layers entered, as in ``url*3>base64``; how many streams
+    were not read to their end."""
     base = base_spans(text)
     found, added = set(base), []
     seen: set[tuple[bytes, bytes]] = set()
-    chains: list[str] = []
+    chains: dict[str, None] = {}
     cuts = 0
     # The layers on the way to the present one: their keys, and which layers they have still to give.
-    path, work = [_key(text)], [("", _inner(text, None, None))]
+    path, work = [_key(text)], [(("", "", 0), _inner(text, None, None))]
     while work:
-        chain, layers = work[-1]
+        (before, last, times), layers = work[-1]
         if (got := next(layers, None)) is None:
             path.pop()
             work.pop()
             continue
         layer, starts, ends, name, cut = got
         cuts += cut
-        if not layer or (key := _key(layer)) in path or (place := (key, _place(starts, ends))) in seen:
+        # Escapes only shorten: what ends cycles are the layers of base64 runs.
+        key, escapes = _key(layer), name in _REWRITES
+        if not layer or not escapes and key in path or (place := (key, _place(starts, ends))) in seen:
             continue
         seen.add(place)
-        chains.append(f"{chain}>{name}" if chain else name)
+        chain = (before, last, times + 1) if name == last else (f"{_chain(before, last, times)}>".lstrip(">"), name, 1)
+        chains[_chain(*chain)] = None
         for kind, a, b in base_spans(layer):
             span = (kind, int(starts[a]), int(ends[b - 1]))
             if span not in found:
                 found.add(span)
                 added.append(span)
-        path.append(key)
-        work.append((chains[-1], _inner(layer, starts, ends)))
-    return base, added, chains, cuts
+        path.append(None if escapes else key)
+        work.append((chain, _inner(layer, starts, ends)))
+    return base, added, list(chains), cuts
+
+
+def _chain(before: str, last: str, times: int) -> str:
+    return f"{before}{last}*{times}" if times > 1 else before + last
 
 
 def _key(text: str) -> bytes:
@@ -357,7 +380,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_spans, spans, layers, cut_layers.
 
     base_spans are those of the text itself, spans adds what deeper layers hold, mapped to the original
-    text, each as kind:start:end. Null and empty texts have none. Repeated rows are repeated.
+    text, each as kind:start:end. layers are the distinct chains of decodings, cut_layers how many streams were not read to
+    their end, a stream once for each layer that it is met in. Null and empty texts have none. Repeated rows are repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,10 @@ import base64
 import gzip
 import html
 import re
+import tracemalloc
 import urllib.parse
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -146,6 +148,31 @@ def test_added_spans_match_a_naive_worklist(pieces):
     assert sorted({*base, *added}) == sorted(worklist(text)) and set(base) == set(brute_secrets(text))
 
 
+BITS = ["word", "ab", "the password", "token", "6e", "41", "\\", "%", "%25", "%6e", "%5Cn", "%20", "&amp;", "\\u006e", "&#110;", "\\n", "\n", "=", ": ", " ", "é", "abcdefghijklmnop", "dG9rZW49YWJj", "MTIz"]
+
+
+@settings(max_examples=200, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.lists(st.sampled_from(BITS), max_size=24), st.sampled_from(["", " ", " and then "]))
+def test_cutting_layers_at_plain_words_loses_nothing(bits, glue):
+    text = glue.join(bits)
+    base, added, *_ = secrets.scan(text)
+    assert sorted({*base, *added}) == sorted(worklist(text))
+
+
+@pytest.mark.parametrize("deep", ["%" + "25" * 600 + "41", "&" + "amp;" * 600 + "quot;", "%20&" + "amp;" * 600])
+def test_long_chains_of_escapes_in_long_texts(deep):
+    """Neither memory nor the names of the layers grow with the depth times the text."""
+    inner = "".join(f"%25{b:02X}" for b in b"token=abc123")
+    text = "some words, " * 4_000 + deep + " " + inner + " and words" * 4_000
+    tracemalloc.start()
+    _, added, chains, _ = secrets.scan(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = text.index(inner)
+    assert ("assign", at, at + len(inner)) in added and peak < 32 << 20
+    assert max(map(len, chains)) < 100 and any(c.endswith("*600") or c.endswith("*601") for c in chains)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sampled_from(SECRETS[:5]), st.sampled_from(sorted(WRAPS)), st.sampled_from(sorted(WRAPS)))
 def test_spans_inside_a_stream_are_those_of_its_content(secret, inside, outside):
