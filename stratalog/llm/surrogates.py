@@ -15,6 +15,8 @@ the marks and stored; entities, draws and replacements are tables of distinct va
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from .common import attach, fresh, scratch, text_or_empty, written
 
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Госпожа|госпожа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|господин"
-_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9][A-Za-z0-9-]*+)+"
+# Groups of no bounded number are possessive: Java's others take stack for each repetition, which a long text exhausts.
+_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9][A-Za-z0-9-]*+)++"
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 _PHONE = r"(?<![\w+])\+1[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)(?:[ .-]?\d){5,12}+(?!\d)|(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d(?:[ .-]?\d){7,14}+(?!\d)|(?<![\w+.-])\d{3}(?:[.-]\d{3}[.-]| \d{3} )\d{4}(?![\d-]|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -31,7 +34,7 @@ _CARD = r"(?<![\d.])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|3[47]\d{2}[ -]\d{6}[ -]\d{
 #: A word of a name, with inner capitals, apostrophes and hyphens, or initials before another word.
 _WORD = r"(?:(?:\p{Lu}\.-?)++(?= \p{Lu})|\p{Lu}\p{L}*+(?:['’-]\p{Lu}\p{L}*+)*+)"
 _NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? {_WORD}(?: {_WORD})*+"
-_INITIALS = r"^(?:\p{Lu}|(?:\p{Lu}\.-?)+)$"
+_INITIALS = r"^(?:\p{Lu}|(?:\p{Lu}\.-?)++)$"
 PATTERN = "|".join([_MAIL, _IP, _PHONE, _SSN, _IBAN, _CARD.replace(r"\1", r"[ -]").replace("([ -])", "[ -]"), _NAME])
 #: First letters and the rest of all forms of address.
 _TITLE = r"[FHMSГг](?:rau|err|rs?|s|iss|adame|me|lle|onsieur|eñorita|eñora?|ra?|осподин|оспожа)\.? \p{Lu}"
@@ -65,11 +68,16 @@ def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, where ``then`` has functions over arrays that would compute it for every element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _masked(s: Column, hx: Column, from_: Column | int = 0) -> Column:
     """s with its ASCII lower-case letters, capitals and digits redrawn from position ``from_`` on."""
 
-    def one(c: Column, i: Column) -> Column:
-        b = _byte(hx, i)
+    def one(c: Column, i: Column, h: Column) -> Column:
+        b = _byte(h, i)
         return (
             F.when(i < from_, c)
             .when(c.rlike("^[0-9]$"), (b % 10).cast("string"))
@@ -78,7 +86,7 @@ def _masked(s: Column, hx: Column, from_: Column | int = 0) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(_chars(s), one), "")
+    return _once(hx, lambda h: F.array_join(F.transform(_chars(s), lambda c, i: one(c, i, h)), ""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -119,10 +127,14 @@ def _keys(raw: Column, kind: Column, words: Column) -> Column:
     entry = lambda t, c, s: F.struct(t.alias("type"), c.alias("canon"), s.alias("shown"))
     gender = F.when(raw.rlike(f"^(?:{FEMALE})\\b"), "f").otherwise("m")
     script = F.when(F.element_at(words, 1).rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    role = lambda w, i: F.when(w.rlike(_INITIALS), "initial").when(i < F.size(words) - 1, F.concat(F.lit("given-"), gender)).otherwise("surname")
+    role = lambda w, i, s: F.when(w.rlike(_INITIALS), "initial").when(i < s["n"] - 1, F.concat(F.lit("given-"), s["gender"])).otherwise("surname")
     plain = lambda w: F.lower(F.replace(w, F.lit("’"), F.lit("'")))
-    # Initials are drawn for the name that they are part of: there are too few letters for each to get one of its own.
-    names = F.transform(words, lambda w, i: entry(F.concat_ws("-", role(w, i), script), plain(F.when(w.rlike(_INITIALS), F.array_join(words, " ")).otherwise(w)), w))
+    # Initials are drawn for the name that they are part of (its digest, as a name may be long): there are too few letters for each
+    # to get one of its own.
+    whole = F.sha2(plain(F.array_join(words, " ")), 256)
+    shared = F.struct(script.alias("script"), gender.alias("gender"), F.size(words).alias("n"), whole.alias("whole"))
+    one = lambda w, i, s: entry(F.concat_ws("-", role(w, i, s), s["script"]), F.when(w.rlike(_INITIALS), s["whole"]).otherwise(plain(w)), w)
+    names = _once(shared, lambda s: F.transform(words, lambda w, i: one(w, i, s)))
     return (
         F.when(kind == "name", names)
         .when(kind == "phone", F.array(entry(kind, _national(raw), raw)))

@@ -237,3 +237,14 @@ def test_intermediate_tables_go(spark):
     assert out.count() == len(TEXTS)
     common.remove_tables(spark, before)
     assert len(common._PATHS) == before
+
+
+def test_very_long_entities_end(spark):
+    """Patterns take no stack for each repetition of a group, and nothing is hashed or split for every character or word."""
+    n = 20_000
+    texts = ["a@b" + ".cd" * n, "a." * n + "@b.org", "Mr" + " Smith" * (n // 10), "Mr " + "A." * n + " Smith", "Mr " + "A. " * (n // 10) + "Smith", "Mr A" + "-Bc" * n, "abcdef0123456789" * (n // 10) + "@x.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in S.replace_pii(docs, "k").collect()}
+    assert all(rows[i]["n_entities"] == 1 and rows[i]["text"] != t for i, t in enumerate(texts))
+    mails = [rows[i]["text"] for i in (0, 1, 6)]
+    assert [len(m) for m in mails] == [len(texts[i]) for i in (0, 1, 6)] and not any("Smith" in rows[i]["text"] for i in range(len(texts)))
