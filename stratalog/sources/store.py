@@ -314,39 +314,60 @@ class Store:
                 self.files.delete(name)
 
     def try_compact(self) -> None:
+        """Compacts until no level is due: about one merge for each level that is, however many runs have to leave it."""
         level = 0
         while level <= self.manifest.max_level():
             runs = self.manifest.level(level)
-            due = len({r.id for r in runs}) >= self.config.level0_runs if level == 0 else sum(r.bytes for r in runs) > self.config.level_limit(level)
+            excess = sum(r.bytes for r in runs) - self.config.level_limit(level)
+            due = len({r.id for r in runs}) >= self.config.level0_runs if level == 0 else excess > 0
             if not due:
                 level += 1
                 continue
-            self.compact(level)
+            self.compact(level, excess)
             if level == 0:
                 level = 1
 
-    def compact(self, level: int) -> None:
-        """Merges level 0, or the run that a deeper level's cursor points at, with what it meets one level below."""
+    def compact(self, level: int, excess: int = 0) -> None:
+        """Merges level 0, or runs of a deeper level, with what they meet below.
+
+        Of a deeper level it takes the run that the cursor points at and those after it, up to the last one, until they have the
+        excess in bytes. The merge passes over a level that it would leave with more than twice its limit, as most of what it
+        wrote there would have to go on at once, and takes what it meets there along.
+        """
         self._check_lease()
         runs = self.manifest.level(level)
         if not runs:
             return
         cursors = dict(self.manifest.cursors)
-        taken = runs
+        inputs = runs
         if level > 0:
             at = cursors.get(str(level), runs[0].first_key)
-            i = max((i for i, r in enumerate(runs) if r.first_key <= at), default=len(runs) - 1)
-            taken = [runs[i]]
-            cursors[str(level)] = runs[(i + 1) % len(runs)].first_key
-        low, high = min(r.first_key for r in taken), max(r.last_key for r in taken)
-        inputs = taken + [r for r in self.manifest.level(level + 1) if r.meets(low, high)]
+            first = max((i for i, r in enumerate(runs) if r.first_key <= at), default=len(runs) - 1)
+            end, size = first, 0
+            while end < len(runs) and (end == first or size < excess):
+                size += runs[end].bytes
+                end += 1
+            inputs = runs[first:end]
+            cursors[str(level)] = runs[end % len(runs)].first_key
+        dest = level
+        while dest == level or self._overfull(dest, inputs):
+            dest += 1
+            # Of the union of their ranges: an output may lie across a gap between two inputs.
+            low, high = min(r.first_key for r in inputs), max(r.last_key for r in inputs)
+            inputs = inputs + [r for r in self.manifest.level(dest) if r.meets(low, high)]
+        taken = {r.path for r in inputs}
+        kept = tuple(r for r in self.manifest.runs if r.path not in taken)
         merged = merge.newest(self._records(inputs), merge.run_recency())
-        deepest = max((r.level for r in self.manifest.runs if r not in inputs), default=0)
-        merged = merge.purge(merged, level + 1, max(deepest, level + 1))
-        new = self._write_runs(merged, level + 1, sum(r.bytes for r in inputs))
-        kept = tuple(r for r in self.manifest.runs if r not in inputs)
+        merged = merge.purge(merged, dest, max([dest, *(r.level for r in kept)]))
+        new = self._write_runs(merged, dest, sum(r.bytes for r in inputs))
         self._commit(replace(self.manifest, runs=kept + tuple(new), next_ids=self._used(new), cursors=cursors))
 
+    def _overfull(self, level: int, inputs: list[Run]) -> bool:
+        """Whether a level would have more than twice its limit with a merge of the inputs, some of which may be of that level."""
+        taken = {r.path for r in inputs}
+        rest = sum(r.bytes for r in self.manifest.level(level) if r.path not in taken)
+        return rest + sum(r.bytes for r in inputs) > 2 * self.config.level_limit(level)
+
     def files_table(self) -> DataFrame:
         """The live runs as a table for the metadata queries."""
         rows = [(r.level, r.id, bytes.fromhex(r.first_key), bytes.fromhex(r.last_key), r.n_rows, r.bytes) for r in self.manifest.runs]

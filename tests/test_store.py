@@ -295,6 +295,34 @@ def test_level_sizes_stay_within_their_limits(spark, tmp_path):
     assert len({r.id for r in store.manifest.level(0)}) < config.level0_runs
 
 
+def test_many_runs_leave_their_levels_in_few_merges(spark, tmp_path):
+    rng, model = random.Random(4), {}
+    config = StoreConfig(flush_bytes=1, run_bytes=1_000, level0_runs=1, level_base=2, level_unit=1_000)
+    store = Store(spark, str(tmp_path), config)
+    held = set()
+    # Wide and narrow batches in turn: the narrow ones leave runs on the upper levels, which wide ones pass over.
+    for step, (n, low, high) in enumerate([(400, 0, 800), (40, 100, 160), (20, 700, 760), (150, 0, 800), (10, 300, 900)]):
+        rows = []
+        for i, k in enumerate(rng.sample(range(low, high), n)):
+            key, value = b"k%06d" % k, b"%d" % step * 40
+            if rng.random() < 0.3:
+                model.pop(key, None)
+                rows.append((i, bytearray(key), None, True))
+            else:
+                model[key] = value
+                rows.append((i, bytearray(key), bytearray(value), False))
+        before = store.manifest.version
+        store.write_batch(batch(spark, rows))
+        m = store.manifest
+        held |= {r.level for r in m.runs}
+        assert m.version - before <= 1 + m.max_level()  # a flush and a merge for each level, where there are up to 30 runs
+        assert content(store) == model and not m.level(0)
+        for level in range(1, m.max_level() + 1):
+            runs = m.level(level)
+            assert all(a.last_key < b.first_key for a, b in zip(runs, runs[1:])) and sum(r.bytes for r in runs) <= config.level_limit(level)
+    assert len(held) > 2 and content(Store(spark, str(tmp_path), config)) == model
+
+
 def test_runs_carry_a_key_filter_that_outlives_the_writer(spark, tmp_path):
     store = Store(spark, str(tmp_path), StoreConfig(flush_bytes=1_000))
     rng = random.Random(3)
