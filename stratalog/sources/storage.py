@@ -15,14 +15,15 @@ class Storage:
     def __init__(self, spark: SparkSession, root: str):
         self._jvm = spark.sparkContext._jvm
         self.root = root.rstrip("/")
-        path = self._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        #: The class, looked up once: each lookup asks the JVM for every part of its name.
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}" if name else self.root
 
     def _p(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return self._path(self.path(name))
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._p(name))

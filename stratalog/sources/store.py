@@ -177,7 +177,7 @@ class Store:
             return self.spark.createDataFrame([], T.StructType(CHANGE.fields[1:]))
         paths = [self.files.path(f"wal/batch-{n:012d}") for n in batches]
         rows = self.spark.read.schema(CHANGE).parquet(*paths)
-        batch = F.regexp_extract(F.col("_metadata.file_path"), r"batch-(\d+)", 1).cast("long")
+        batch = F.substring(F.substring_index(F.col("_metadata.file_path"), "/batch-", -1), 1, 12).cast("long")
         newest = merge.newest(rows.withColumn("_batch", batch), [F.col("_batch").desc(), F.col("seq").desc()])
         return newest.select("key", "value", "is_tombstone")
 
@@ -226,23 +226,26 @@ class Store:
 
     def checked_flush(self) -> bool:
         """Flushes if the memtable's size has reached the threshold, then compacts what is due."""
-        size = self._memtable_bytes()
-        if size < self.config.flush_bytes:
+        if not self.flush(self.config.flush_bytes):
             return False
-        self.flush(size)
         self.try_compact()
         return True
 
-    def _memtable_bytes(self) -> int:
-        return self._sized(self.memtable()).agg(F.sum("_bytes")).first()[0] or 0
-
-    def flush(self, size: int | None = None) -> None:
-        """Writes the memtable as a run of level 0, in parts of the run size; nothing for an empty one. size: its bytes, if known."""
+    def flush(self, least: int = 0) -> bool:
+        """Writes the memtable as a run of level 0, in parts of the run size; nothing for an empty one. False if it has less than the least bytes."""
         self._check_lease()
         upto = self.manifest.next_batch
-        written = self._write_runs(self.memtable(), 0, self._memtable_bytes() if size is None else size, one=True)
+        rows = self.memtable().persist()  # else the log is ranked for the size and again for the run
+        try:
+            size = self._sized(rows).agg(F.sum("_bytes")).first()[0] or 0
+            if size < least:
+                return False
+            written = self._write_runs(rows, 0, size, one=True)
+        finally:
+            rows.unpersist()
         if written or upto > self.manifest.first_batch:
             self._commit(replace(self.manifest, runs=self.manifest.runs + tuple(written), next_ids=self._used(written), first_batch=upto))
+        return True
 
     def _used(self, new: list[Run]) -> dict[str, int]:
         ids = dict(self.manifest.next_ids)

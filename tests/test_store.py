@@ -323,6 +323,25 @@ def test_many_runs_leave_their_levels_in_few_merges(spark, tmp_path):
     assert len(held) > 2 and content(Store(spark, str(tmp_path), config)) == model
 
 
+def test_a_flush_ranks_the_log_once_and_keeps_nothing(spark, tmp_path, monkeypatch):
+    asked, real = [], Store.memtable
+    monkeypatch.setattr(Store, "memtable", lambda store: asked.append(real(store)) or asked[-1])
+    store = Store(spark, str(tmp_path), SMALL)
+    for n, flushed in ((5, False), (60, True)):
+        asked.clear()
+        store.write_batch(batch(spark, numbered(n)))
+        assert bool(store.manifest.runs) == flushed and len(asked) == 1
+        assert not asked[0].storageLevel.useMemory and not asked[0].storageLevel.useDisk
+
+
+def test_files_are_moved_without_looking_up_classes(spark, tmp_path):
+    files = Storage(spark, str(tmp_path))
+    (tmp_path / "a").mkdir()
+    files._jvm = None
+    files.rename("a", "b/c")
+    assert files.names("b") == ["c"]
+
+
 def test_runs_carry_a_key_filter_that_outlives_the_writer(spark, tmp_path):
     store = Store(spark, str(tmp_path), StoreConfig(flush_bytes=1_000))
     rng = random.Random(3)
